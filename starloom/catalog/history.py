@@ -141,12 +141,12 @@ def _(spark, sf):
 k AS (SELECT *, greatest((epoch_us(now) - micros) / 86400000000.0::DOUBLE, 0) AS days FROM seq WHERE back <= 20),
 s AS (SELECT review_id, avg(rating) AS m, stddev_pop(rating) AS sd, min(rating) AS lo, max(rating) AS hi, arg_min(rating, back) AS la, avg((rating >= 4)::INT) AS p, avg((rating <= 2)::INT) AS n, avg(days) AS d FROM k GROUP BY 1)
 SELECT c.review_id, round(coalesce(m, 0), 6) AS history_rating_mean, round(coalesce(sd, 0), 6) AS history_rating_std, coalesce(lo, 0) AS history_rating_min, coalesce(hi, 0) AS history_rating_max,
- coalesce(la, 0) AS history_last_rating, round(coalesce(p, 0), 6) AS history_positive_share, round(coalesce(n, 0), 6) AS history_negative_share, round(coalesce(d, 0), 3) AS history_recency_days_mean
+ coalesce(la, 0) AS history_last_rating, round(coalesce(p, 0), 6) AS history_positive_share, round(coalesce(n, 0), 6) AS history_negative_share, round(ln(1 + coalesce(d, 0)), 6) AS history_recency_days_log
 FROM canonical c LEFT JOIN s USING (review_id)""", "canonical")
 def _(spark, sf):
     df = history.event_sequences(canonical_reviews(derived.reviews(spark, sf)))
     stats = history.sequence_statistics()
-    stats["history_recency_days_mean"] = F.round(stats["history_recency_days_mean"], 3)
+    stats["history_recency_days_log"] = F.log1p(stats.pop("history_recency_days_mean"))
     return plain(df.select("review_id", *[c.alias(n) for n, c in stats.items()]))
 
 

@@ -370,7 +370,8 @@ WITH h AS (SELECT business_id, has_hours, sunday_start, sunday_end, CASE WHEN su
 SELECT business_id, CASE WHEN has_hours THEN 4 ELSE 0 END::DOUBLE AS open_days_count, CASE WHEN has_hours THEN 480 + 510 + 1440 + sunday ELSE 0 END::DOUBLE AS weekly_open_minutes,
  CASE WHEN has_hours THEN 2 ELSE 0 END::DOUBLE AS weekend_days_open, CASE WHEN has_hours THEN 2 + (sunday_end >= 1320 OR sunday_end <= 180)::INT ELSE 0 END::DOUBLE AS late_night_days FROM h""", "businesses")
 def _(spark, sf):
-    return derived.businesses(spark, sf).select("business_id", *[c.alias(n) for n, c in text.opening_hours(F.col("hours")).items()])
+    b = derived.businesses(spark, sf).withColumn("days", text.open_days(F.col("hours")))
+    return b.select("business_id", *[c.alias(n) for n, c in text.opening_hours("days").items()])
 
 
 @query("st_friends_and_elite", """

@@ -153,8 +153,8 @@ def closes_late(interval: Column) -> Column:
     return F.coalesce(interval.contains("-") & ((end >= 1320) | (end <= 180)), F.lit(False))
 
 
-def opening_hours(text: Column) -> dict[str, Column]:
-    """Open days, weekly minutes, open weekend days and late closings of an hours mapping."""
+def open_days(text: Column) -> Column:
+    """The days of an hours mapping that have a positive length: array of ``(day, minutes, late)``."""
     days = F.transform(
         F.map_entries(parse_mapping(text)),
         lambda e: F.struct(
@@ -163,14 +163,17 @@ def opening_hours(text: Column) -> dict[str, Column]:
             closes_late(_as_text(e["value"])).alias("late"),
         ),
     )
-    open_days = F.coalesce(
-        F.filter(days, lambda d: d["minutes"] > 0), F.array().cast("array<struct<day:string,minutes:int,late:boolean>>")
-    )
+    kept = F.filter(days, lambda d: d["minutes"] > 0)
+    return F.coalesce(kept, F.array().cast("array<struct<day:string,minutes:int,late:boolean>>"))
+
+
+def opening_hours(days: str) -> dict[str, Column]:
+    """Open days, weekly minutes, open weekend days and late closings, from a column made by ``open_days``."""
     return {
-        "open_days_count": F.size(open_days).cast("double"),
-        "weekly_open_minutes": F.aggregate(open_days, F.lit(0.0), lambda a, d: a + d["minutes"]),
-        "weekend_days_open": F.size(F.filter(open_days, lambda d: d["day"].isin("Saturday", "Sunday"))).cast("double"),
-        "late_night_days": F.size(F.filter(open_days, lambda d: d["late"])).cast("double"),
+        "open_days_count": F.size(days).cast("double"),
+        "weekly_open_minutes": F.aggregate(days, F.lit(0.0), lambda a, d: a + d["minutes"]),
+        "weekend_days_open": F.size(F.filter(days, lambda d: d["day"].isin("Saturday", "Sunday"))).cast("double"),
+        "late_night_days": F.size(F.filter(days, lambda d: d["late"])).cast("double"),
     }
 
 

@@ -71,11 +71,11 @@ def attribute_key_counts(businesses: DataFrame) -> DataFrame:
 
 def parser_summary(businesses: DataFrame) -> DataFrame:
     """Presence rates and parser coverage of the business table, in one row."""
-    b = businesses.select(
+    b = businesses.withColumn("_open", text.open_days(F.col("hours"))).select(
         "city", "state", F.size(text.tokens(F.col("categories"))).alias("n_categories"),
         F.size(text.flat_attributes(F.col("attributes"))).alias("n_attributes"),
         F.col("hours").isNotNull().alias("has_hours"),
-        *[c.alias(n) for n, c in text.opening_hours(F.col("hours")).items()],
+        *[c.alias(n) for n, c in text.opening_hours("_open").items()],
     )
     keys = attribute_key_counts(businesses).agg(F.count(F.lit(1)).alias("n_attribute_keys"))
     row = b.agg(

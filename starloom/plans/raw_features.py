@@ -69,9 +69,9 @@ def prepare_businesses(businesses: DataFrame) -> DataFrame:
     n = lambda c, d=0.0: numeric.number_or(c, d)
     flag = lambda c: c.cast("double")
     attributes = businesses.withColumns(
-        {"_a": text.flat_attributes(F.col("attributes")), "_tokens": text.tokens(F.col("categories"))}
+        {"_a": text.flat_attributes(F.col("attributes")), "_tokens": text.tokens(F.col("categories")), "_open": text.open_days(F.col("hours"))}
     )
-    attributes = attributes.withColumns({f"_h_{k}": c for k, c in text.opening_hours(F.col("hours")).items()})
+    hours = text.opening_hours("_open")
     matching = lambda test: F.size(F.filter("_a", test)).cast("double")
     lat, lon, stars, count = n("latitude", None), n("longitude", None), n("stars", None), n("review_count")
     columns = {
@@ -95,7 +95,7 @@ def prepare_businesses(businesses: DataFrame) -> DataFrame:
         "business_attribute_true_count": matching(lambda e: (e["kind"] == "bool") & (e["value"] == "true")),
         "business_attribute_false_count": matching(lambda e: (e["kind"] == "bool") & (e["value"] == "false")),
         "business_attribute_string_count": matching(lambda e: e["kind"] == "text"),
-        **{f"business_{k}": F.col(f"_h_{k}") for k in ("open_days_count", "weekly_open_minutes", "weekend_days_open", "late_night_days")},
+        **{f"business_{k}": c for k, c in hours.items()},
         "business_hours_missing": flag(F.col("hours").isNull()),
         "business_has_hours": flag(F.col("hours").isNotNull()),
         "business_rating_per_review": stars / F.greatest(count, F.lit(1.0)),
