@@ -120,7 +120,8 @@ def majority_vote(
     """The most voted star if it has a majority; otherwise, and on strong conflict, the named strategy."""
     majority = majority or len(models) // 2 + 1
     a = F.array(*[F.col(m) for m in models])
-    votes = {f"votes_{s}": F.size(F.filter(a, lambda x, s=s: x == s)).cast("bigint") for s in range(1, 6)}
+    count = lambda star: F.size(F.filter(a, lambda x: x == star)).cast("bigint")
+    votes = {f"votes_{s}": count(s) for s in range(1, 6)}
     df = df.withColumns(
         {
             **votes, "blend_min": F.array_min(a), "blend_max": F.array_max(a), "blend_mean": array_mean(a), "blend_median": array_median(a),
@@ -223,6 +224,6 @@ def blend_by_group(df: DataFrame, alphas: DataFrame, expert: str, baseline: str,
     return df.join(small, df[group] == F.col("_g"), "left").withColumn(out, a * F.col(expert) + (1 - a) * F.col(baseline)).drop("_g", "_a")
 
 
-def known_user_average(df: DataFrame, known: str, deep: str, gbm: str) -> Column:
+def known_user_average(known: str, deep: str, gbm: str) -> Column:
     """Average of both models for known users that the deep model scored, the boosted model otherwise."""
     return F.when(F.col(known) & F.col(deep).isNotNull(), (F.col(deep) + F.col(gbm)) / 2).otherwise(F.col(gbm))
