@@ -340,7 +340,7 @@ def _(spark, sf):
     )
 
 
-@query("rt_band_gate", f"SELECT history_band, count(*) AS n_samples, round(avg(abs(rating - {RND.format('incumbent_prediction_raw')})), 6) AS incumbent_mae, round(avg(abs(rating - {RND.format('deep_prediction_raw')})), 6) AS candidate_mae, avg(abs(rating - {RND.format('deep_prediction_raw')})) < avg(abs(rating - {RND.format('incumbent_prediction_raw')})) - 0.001 AS enabled FROM ev WHERE ok GROUP BY 1", "ev")
+@query("rt_band_gate", f"SELECT history_band, count(*) AS n_samples, round(avg(abs(rating - {RND.format('incumbent_prediction_raw')})), 6) AS incumbent_mae, round(avg(abs(rating - {RND.format('deep_prediction_raw')})), 6) AS candidate_mae, avg(abs(rating - {RND.format('deep_prediction_raw')})) - avg(abs(rating - {RND.format('incumbent_prediction_raw')})) <= -0.001 AS enabled FROM ev WHERE ok GROUP BY 1", "ev")
 def _(spark, sf):
     return plain(routing.enabled_bands(evals(spark, sf), "incumbent_prediction_raw", "deep_prediction_raw", 0.001))
 

@@ -72,7 +72,7 @@ def matched_strangers(edges: DataFrame, strata: DataFrame, tries: int = 8, seed:
     sizes = strata.groupBy(F.col("stratum").alias("_ss")).agg(F.count(F.lit(1)).alias("_size"))
     e = edges.join(strata.select(F.col("user_id").alias("_f"), "stratum"), F.col("friend_id") == F.col("_f")).drop("_f")
     e = e.join(sizes, e["stratum"] == sizes["_ss"]).drop("_ss")
-    key = F.crc32(F.concat_ws("|", "user_id", "friend_id"))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", "user_id", "friend_id")), 1, 8), 16, 10).cast("bigint")
     e = e.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     e = e.withColumn("_no", F.pmod(F.pmod(key + F.col("_try") * F.lit(7919 + seed), F.lit(HASH_STEPS)), F.col("_size")))
     proposed = e.join(numbered, (e["stratum"] == numbered["_cs"]) & (e["_no"] == numbered["_no"])).select("user_id", "friend_id", "_try", "candidate")

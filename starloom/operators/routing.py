@@ -33,7 +33,7 @@ def enabled_bands(df: DataFrame, incumbent: str, candidate: str, margin: float =
     both = df.filter(F.col(candidate).isNotNull() & ~F.isnan(candidate))
     i, c = mae(round_half_up(F.col(incumbent))), mae(round_half_up(F.col(candidate)))
     stats = both.groupBy("history_band").agg(F.count(F.lit(1)).alias("n_samples"), i.alias("incumbent_mae"), c.alias("candidate_mae"))
-    return stats.withColumn("enabled", F.col("candidate_mae") < F.col("incumbent_mae") - margin)
+    return stats.withColumn("enabled", F.col("candidate_mae") - F.col("incumbent_mae") <= -margin)
 
 
 def band_names(gate: DataFrame) -> list[str]:
