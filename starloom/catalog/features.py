@@ -13,7 +13,7 @@ from starloom.functions import numeric, text, vectors
 from starloom.operators import bias, embeddings, encoders, graph, history, priors, splits
 from starloom.operators.priors import train_aggregates
 from starloom.plans import known_user, pair_features, profiles, raw_features, representation, router_features, stackers
-from starloom.session import one_row
+from starloom.session import durable, one_row
 from starloom.sources import derived
 from starloom.sources.tables import canonical_reviews
 
@@ -558,7 +558,7 @@ def _(spark, sf):
     t = train(spark, sf)
     clusters, silhouette = embeddings.cluster_population(user_vectors(spark, sf), "user_id", 8, components=8)
     b = derived.businesses(spark, sf).select("business_id", text.macro_category(text.tokens(F.col("categories"))).alias("macro_category"))
-    rows = clean_users(spark, sf).join(clusters, "user_id").join(embeddings.dominant_category(t, b), "user_id", "left")
+    rows = durable(clean_users(spark, sf).join(clusters, "user_id").join(embeddings.dominant_category(t, b), "user_id", "left"))
     return plain(embeddings.cluster_profiles(rows).withColumn("silhouette", F.lit(silhouette)))
 
 

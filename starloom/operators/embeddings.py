@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import vectors
 from starloom.operators.skew import quantiles, top_rows
-from starloom.session import one_row
+from starloom.session import durable, one_row
 
 
 def width_of(df: DataFrame, column: str = "embedding") -> int:
@@ -179,10 +179,10 @@ def distance_correlation(pairs: DataFrame, first: DataFrame, second: DataFrame)
 
 def cluster_population(df: DataFrame, key: str, clusters: int, components: int = 32, seed: int = 42) -> tuple[DataFrame, float]:
     """K-means labels on principal components of unit vectors, and their silhouette."""
-    reduced = pca(df.select(key, vectors.unit(F.col("embedding")).alias("embedding")), key, components)
-    points = reduced.select(key, array_to_vector("pca").alias("features"))
+    unit = durable(df.select(key, vectors.unit(F.col("embedding")).alias("embedding")))
+    points = durable(pca(unit, key, components).select(key, array_to_vector("pca").alias("features")))
     model = KMeans(k=clusters, seed=seed).fit(points)
-    labelled = model.transform(points).select(key, F.col("prediction").alias("cluster_id"), "features")
+    labelled = durable(model.transform(points).select(key, F.col("prediction").alias("cluster_id"), "features"))
     silhouette = float("nan")
     if labelled.select("cluster_id").distinct().limit(2).count() > 1:
         silhouette = ClusteringEvaluator(predictionCol="cluster_id").evaluate(labelled)

@@ -29,6 +29,9 @@ SUMS = ["n", "sxy", "sxx", "syy", "smin"]
 def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sums of every two members of one tile over the groups of the tile."""
     left, right = pdf[pdf["side"] <= 1], pdf[(pdf["side"] == 2) | ((pdf["side"] == 1) & (pdf["b1"] == pdf["b2"]))]
+    if left.empty or right.empty:
+        kinds = {"a": object, "b": object, "n": "int64"}
+        return pd.DataFrame({c: pd.Series(dtype=kinds.get(c, "float64")) for c in ["a", "b", *SUMS]})
     groups = {g: k for k, g in enumerate(sorted(pdf["g"].unique()))}
 
     def dense(part):

@@ -14,7 +14,7 @@ from starloom.operators import graph
 from starloom.operators.priors import smoothed_group_stats
 from starloom.operators.skew import pin_small
 from starloom.plans.raw_features import RawSpec, fit_raw_features, prepare_businesses, prepare_users, raw_features
-from starloom.session import one_row
+from starloom.session import durable, one_row
 from starloom.sources.tables import canonical_reviews
 
 # Profile columns that the archetypes are formed on.
@@ -76,7 +76,7 @@ def fit_archetypes(users: DataFrame, k: int = 64, seed: int = 42, iterations: in
     fill, scale = archetype_scales(users)
     base = Archetypes(fill, scale, [])
     rows = users.select("user_id", *[base._normalized(c).alias(c) for c in ARCHETYPE_COLUMNS])
-    points = VectorAssembler(inputCols=ARCHETYPE_COLUMNS, outputCol="features").transform(rows).select("features")
+    points = durable(VectorAssembler(inputCols=ARCHETYPE_COLUMNS, outputCol="features").transform(rows).select("features"))
     n = min(max(4, k), points.limit(max(4, k)).count())
     model = KMeans(k=n, seed=seed, maxIter=iterations).fit(points)
     centers = sorted([float(v) for v in c] for c in model.clusterCenters())

@@ -192,7 +192,8 @@ def read_submissions(
     """
     schema = T.StructType([T.StructField("review_id", T.StringType()), T.StructField("stars", T.StringType())])
     df = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(root, header=True, pathGlobFilter="*.csv")
-    df = df.withColumn("path", F.input_file_name())
+    # a submission written in parts is named by its folder
+    df = df.withColumn("path", F.regexp_replace(F.input_file_name(), r"/part-[^/]*$", ""))
     keep = reduce(lambda a, b: a & b, [F.col("path").contains(t) for t in include or []], F.lit(True))
     keep = reduce(lambda a, b: a & b, [~F.col("path").contains(t) for t in exclude or []], keep)
     return df.filter(keep).select("path", "review_id", F.col("stars").cast("double").alias("stars"))
