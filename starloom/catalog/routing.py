@@ -8,7 +8,7 @@ from starloom.catalog.aggregates import test, train
 from starloom.catalog.registry import plain, query, view
 from starloom.functions import buckets, numeric
 from starloom.operators import blending, metrics, priors, routing, splits
-from starloom.session import one_row
+from starloom.session import durable, one_row
 from starloom.sources import derived
 
 # Test rows with three predictions: user mean (null for new users), item mean (null for new items), and a
@@ -407,7 +407,7 @@ def submissions(spark, sf):
     p = preds(spark, sf)
     r = lambda c: numeric.round_half_up(F.coalesce(c, "g"))
     pairs = F.array(*[F.struct(F.lit(n).alias("path"), r(c).alias("stars")) for n, c in (("a", "p1"), ("b", "p2"), ("c", "p3"), ("d", "incumbent_prediction_raw"))])
-    return p.select("review_id", F.inline(pairs))
+    return durable(p.select("review_id", F.inline(pairs)))  # stands for files that were written earlier
 
 
 @query("rt_submission_ensemble", f"""

@@ -18,7 +18,7 @@ from starloom.functions.numeric import clip
 from starloom.operators.bias import RatingModel, RegularizedBiasModel
 from starloom.operators.priors import average_duplicates
 from starloom.operators.skew import before_each_row, top_rows
-from starloom.session import one_row
+from starloom.session import durable, one_row
 
 ORDINARY_GROUP = 500
 TILE_MEMBERS = 1000
@@ -111,7 +111,7 @@ class WeightedUserSimilarity:
         self.shrinkage, self.beta, self.min_common, self.jaccard, self.alpha = shrinkage, beta, min_common, jaccard, alpha
 
     def fit(self, ratings: DataFrame) -> "WeightedUserSimilarity":
-        self.ratings = average_duplicates(ratings)
+        self.ratings = durable(average_duplicates(ratings))
         self.users = self.ratings.groupBy("user").agg(F.avg("rating").alias("mean"), F.count(F.lit(1)).alias("n_items"))
         u = self.users.withColumnRenamed("user", "_u")
         centred = self.ratings.join(u, self.ratings["user"] == u["_u"]).select("user", "item", (F.col("rating") - F.col("mean")).alias("x"))
@@ -173,7 +173,7 @@ class ItemKNN(RatingModel):
         self.k, self.metric = k, metric
 
     def fit(self, train):
-        self.ratings = average_duplicates(train)
+        self.ratings = durable(average_duplicates(train))
         s = one_row(self.ratings.agg(F.avg("rating").alias("g")))
         self.g = s["g"]
         users = one_row(self.ratings.select("user").distinct().agg(F.count(F.lit(1)).alias("n")))["n"]
@@ -240,8 +240,8 @@ class BaselineKNN(RatingModel):
         self.baseline = baseline or RegularizedBiasModel()
 
     def fit(self, train):
-        ratings = average_duplicates(train)
-        self.baseline.fit(ratings)
+        ratings = durable(average_duplicates(train))
+        self.baseline.fit(ratings, stored=True)
         base = self.baseline.components(ratings)
         x = F.col("rating") - F.col("global_mean") - F.col("user_bias") - F.col("item_bias")
         self.residuals = base.select("user", "item", x.alias("x"))

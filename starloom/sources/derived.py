@@ -18,13 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the files are fewer than the cores; larger inputs are left where they are.
+
+    By key and not round-robin, so that a repeated task gets the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _user_id(customer="o_custkey", priority="o_orderpriority"):
     return F.concat_ws("-", F.col(customer).cast("string"), F.substring(priority, 1, 1))
 
 
 def reviews(spark: SparkSession, sf_dir: str, before: str | None = None, since: str | None = None) -> DataFrame:
     """The review log; ``before`` and ``since`` limit the day of the order, where Parquet can skip row groups."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"
+    )
+    lines = spread(lines, "l_orderkey")
     orders = table(spark, sf_dir, "orders")
     day = lambda text: F.lit(text).cast(orders.schema["o_orderdate"].dataType)
     if before:
