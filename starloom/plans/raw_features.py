@@ -230,7 +230,14 @@ def encode_levels(frame: DataFrame, levels: DataFrame, columns: list[str], unkno
     """Each categorical column as the number of its level; levels not seen at fit time become ``unknown``."""
     from starloom.operators.skew import maybe_broadcast
 
+    spark = frame.sparkSession
+    most = 100_000
+    rows = levels.filter(F.col("column").isin(columns)).limit(most + 1).collect()
     for c in columns:
-        of_column = maybe_broadcast(levels.filter(F.col("column") == c).select(F.col("level").alias("_l"), F.col("index").cast("double").alias("_i")))
+        if len(rows) <= most:  # small enough to be constants of the plan
+            own = [(r["level"], float(r["index"])) for r in rows if r["column"] == c]
+            of_column = F.broadcast(spark.createDataFrame(own, "_l string, _i double"))
+        else:
+            of_column = maybe_broadcast(levels.filter(F.col("column") == c).select(F.col("level").alias("_l"), F.col("index").cast("double").alias("_i")))
         frame = frame.join(of_column, frame[c] == F.col("_l"), "left").withColumn(c, F.coalesce("_i", F.lit(unknown))).drop("_l", "_i")
     return frame
