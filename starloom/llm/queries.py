@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 
-from starloom.llm import sharding, urls, warc
+import public_tokenizers
+
+from starloom.llm import bpe, packing, quality, sharding, urls, warc
 from starloom.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,6 +20,17 @@ URL_RULES = [
 ]
 
 
+def packing_encoder():
+    """Tokenizer of the packing query: the ids of byte_bpe_50k.json, by its vocabulary's rank file."""
+    path = public_tokenizers.path
+    return packing.rank_file_tokenizer(path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, path("byte_bpe_50k.json"))
+
+
+@query("op2_hierarchical_packing")
+def _(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing_encoder)
+
+
 @query(
     "op3_warc_revisits",
     """
@@ -47,6 +60,20 @@ def _(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op6_quality_rules")
+def _(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit_decision_list(documents, table(spark, sf_dir, "labels"))
+    judged = quality.apply_quality_rules(documents, rules)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *[f"quality_statistics.{c}" for c in counts], "base_failed", "kept", "quality_rule")
+
+
+@query("op7_merge_replay")
+def _(spark, sf_dir):
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op9_feistel_sharding")
 def _(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24, seed=20240229)
