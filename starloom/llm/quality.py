@@ -155,22 +155,29 @@ def _prune(conditions: tuple, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule
 def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.98, most_rules: int = 16, most_conditions: int = 4, seed: int = 7) -> list[Rule]:
     """Sequential covering: grow a rule on two thirds of the rows, prune it on the rest, take out what it covers, repeat.
 
-    Ends when a rule's held-out precision is below ``least_precision``, when it covers fewer than 3 bad held-out rows,
-    or when no bad row is left. Without bad or without good rows there are no rules. Rows must come in a fixed order.
+    A rule is taken if it covers 2 bad held-out rows or more with a precision of ``least_precision``; otherwise the bad rows
+    it was grown on are set aside. Ends when no bad row is left to grow on. Without bad or without good rows there are no
+    rules. Rows must come in a fixed order.
     """
     rules: list[Rule] = []
     if not bad.any() or bad.all():
         return rules
     held = np.random.default_rng(seed).random(len(bad)) < 1 / 3
-    left = np.ones(len(bad), bool)
-    while len(rules) < most_rules and bad[left & ~held].any():
-        part = lambda m: {k: v[m] for k, v in x.items()}
-        grown = _grow(part(left & ~held), bad[left & ~held], most_conditions)
-        rule = _prune(grown, part(left & held), bad[left & held]) if grown else None
-        if rule is None or rule.bad < 3 or rule.bad < least_precision * (rule.bad + rule.good):
+    left, given_up = np.ones(len(bad), bool), np.zeros(len(bad), bool)
+    part = lambda m: {k: v[m] for k, v in x.items()}
+    for _ in range(2 * most_rules):
+        growing = left & ~held & ~given_up
+        if len(rules) == most_rules or not bad[growing].any():
             break
-        rules.append(rule)
-        left &= ~rule.covers(x)
+        grown = _grow(part(growing), bad[growing], most_conditions)
+        if not grown:
+            break
+        rule = _prune(grown, part(left & held), bad[left & held])
+        if rule is not None and rule.bad >= 2 and rule.bad >= least_precision * (rule.bad + rule.good):
+            rules.append(rule)
+            left &= ~rule.covers(x)
+        else:  # look for other rules than this one
+            given_up |= growing & bad & Rule(grown, 0, 0).covers(x)
     return rules
 
 
@@ -183,10 +190,11 @@ def labelled_sample(labels: DataFrame, rows: int) -> DataFrame:
 def fit_decision_list(documents: DataFrame, labels: DataFrame, sample_rows: int = 10_000, **options) -> list[Rule]:
     """Fit on at most ``sample_rows`` labelled documents (the one bound of this operator; it concerns the fit only).
 
-    Their ids are broadcast (16 bytes a row), their statistics come to the driver, and the rules are learned there.
+    Their ids are broadcast (16 bytes a row), the statistics of those that the base rule keeps come to the driver, and the
+    rules, which judge only such documents, are learned there.
     """
     wanted = F.broadcast(labelled_sample(labels, sample_rows))
-    found = documents.select("doc_id", "text").join(wanted, "doc_id").withColumn("s", text_statistics(F.col("text")))
+    found = documents.select("doc_id", "text").join(wanted, "doc_id").withColumn("s", text_statistics(F.col("text"))).where(~base_failed(F.col("s")))
     numbers = found.select("doc_id", "quality", *[c.alias(k) for k, c in features(F.col("s")).items()]).orderBy("doc_id").limit(sample_rows)
     frame = numbers.toPandas()
     names = [c for c in frame.columns if c not in ("doc_id", "quality")]
