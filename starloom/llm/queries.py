@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 
+from fractions import Fraction
+
 import public_tokenizers
 
-from starloom.llm import bpe, packing, quality, sharding, urls, warc
+from starloom.llm import bpe, ngram_join, packing, quality, sharding, urls, warc
 from starloom.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,6 +28,12 @@ def packing_encoder():
     return packing.rank_file_tokenizer(path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, path("byte_bpe_50k.json"))
 
 
+@query("op1_ngram_jaccard_join")
+def _(spark, sf_dir):
+    found = ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, threshold=Fraction(90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op2_hierarchical_packing")
 def _(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing_encoder)
