@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import public_tokenizers
 
-from starloom.llm import bpe, ngram_join, packing, quality, sharding, urls, warc
+from starloom.llm import bpe, ngram_join, packing, quality, secrets, sharding, urls, warc
 from starloom.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -52,6 +52,39 @@ def _(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=1000)
 
 
+def _secrets_sql() -> str:
+    """The patterns over whole texts with places from the lengths between matches; links as interval joins on the document."""
+
+    def spans(kind: str, pattern: str, group: int, least: int, most: int) -> str:
+        quoted = pattern.replace("'", "''")
+        return f"""SELECT rid, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS ord,
+            CAST(list_sum(list_transform(between[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(whole[i]) AS n
+          FROM (SELECT rid, whole, grp, between, unnest(generate_series(1, len(whole))) AS i FROM (SELECT rid, regexp_extract_all(t, '{quoted}', 0) AS whole,
+            regexp_extract_all(t, '{quoted}', {group}) AS grp, string_split_regex(t, '{quoted}') AS between FROM d)) WHERE length(grp[i]) BETWEEN {least} AND {most}"""
+
+    far = 1 << 30
+    parts = [
+        spans("assign", secrets.ASSIGN, 2, 6, far), spans("access", secrets.ACCESS, 0, 20, far), spans("hex", secrets.HEX, 0, 24, far),
+        spans("client", secrets.CLIENT, 2, 3, far), spans("key", secrets.KEY, 0, 40, 40), spans("endpoint", secrets.ENDPOINT, 0, 1, far),
+    ]
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM p q WHERE q.rid = p.rid AND q.kind IN ({kinds}) AND q.s < p.e + {secrets.SCOPE} AND q.e > p.s - {secrets.SCOPE})"
+    identifier, secret, endpoint = near("'access', 'client'"), near("'assign', 'hex', 'key'"), near("'endpoint'")
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+    p AS MATERIALIZED (SELECT *, s + n AS e FROM ({" UNION ALL ".join(parts)})),
+    r AS (SELECT * FROM p WHERE ord < 3 OR (NOT EXISTS (SELECT 1 FROM p q WHERE q.rid = p.rid AND q.ord < 3 AND q.s < p.e AND q.e > p.s)
+      AND ((kind = 'key' AND {identifier}) OR (kind = 'client' AND {secret} AND {endpoint}) OR (kind = 'endpoint' AND {identifier} AND {secret})))),
+    g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, ord) FILTER (ord < 3) AS base, string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, ord) AS spans FROM r GROUP BY rid)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"""
+
+
+@query("op4_credential_linking", _secrets_sql())
+def _(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_url_filter",
     """
