@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import public_tokenizers
 
-from starloom.llm import bpe, ngram_join, packing, quality, secrets, sharding, urls, warc
+from starloom.llm import bpe, html, ngram_join, packing, quality, secrets, sharding, topk, urls, warc
 from starloom.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -115,6 +115,25 @@ def _(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query(
+    "op8_threshold_top_k",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+)
+def _(spark, sf_dir):
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 @query("op9_feistel_sharding")
 def _(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24, seed=20240229)
+
+
+@query("op10_site_templates")
+def _(spark, sf_dir):
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
