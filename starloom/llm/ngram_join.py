@@ -68,7 +68,7 @@ class Signatures:
 
 
 def document_features(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n (shingles), k and k2 (two independent hashes of the set) and the signatures of each row."""
+    """doc_id, text_hash, n (shingles), k and k2 (two independent hashes of the set) and the signatures of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, signatures = WordHashes(), Signatures(threshold)
@@ -80,10 +80,11 @@ def document_features(documents: DataFrame, width: int, threshold: Fraction) ->
                 of_each = [signatures.of(s) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in of_each])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(of_each)))
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *keys, lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k", "k2", "signatures"])
+                columns = [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *keys, lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "k", "k2", "signatures"])
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, k long, k2 long, signatures array<long>")
+    source = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, n long, k long, k2 long, signatures array<long>")
 
 
 def class_shingles(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -281,12 +282,12 @@ def shared_signatures(features: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard_components(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, class_key, component_id.
+    """One row per row of ``documents`` (doc_id, text): doc_id, text_hash, n_shingles, component_key, component_id.
 
     Two documents are linked when their shingle sets have a Jaccard similarity of ``threshold`` or more (an exact
     fraction); component_id is the smallest doc_id reachable by links. Equal sets are linked. A document without words, and one
     whose text is null, is linked with nothing. Repeated rows are documents like others; a null doc_id counts only
-    where a component has no other. An empty table gives an empty one. Other columns are ignored.
+    where a component has no other. component_key names the component also where ids do not; null without words. An empty table gives an empty one. Other columns are ignored.
 
     Exact at every size: the signatures lose no linked pair, and every pair of classes that shares one is compared
     unless it is known to be in one component. A group of near copies is first compared with single members of it (a
@@ -306,7 +307,28 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, threshold: Fr
     labels = connected_components(labels.unionByName(more))
     named = classes.join(labels.select(F.col("u").alias("k"), F.col("v").alias("comp")), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    by_class = named.join(smallest, "comp").select("k", "component_id")
-    out = features.select("doc_id", "n", "k").join(by_class, "k", "left")
+    by_class = named.join(smallest, "comp").select("k", "comp", "component_id")
+    out = features.select("doc_id", "text_hash", "n", "k").join(by_class, "k", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_key"), component.alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).alias("component_key"), component.alias("component_id"))
+
+
+def drop_near_duplicates(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """``documents`` with one row of each component: the smallest doc_id (a null one last), then the smallest text hash.
+
+    Of rows that repeat both, one stays. Documents without words are linked with nothing and all stay. Columns and their order are kept.
+    """
+    found = durable(ngram_jaccard_components(documents, width, threshold).where("component_key is not null"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = found.groupBy("component_key").agg(F.min(place).alias("stays"))
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
+    judged = found.join(first, "component_key").withColumn("keep", stays)
+    gone = judged.where("not keep").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    hashed = documents.withColumn("__text_hash", F.xxhash64("text"))
+    left = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__text_hash") == F.col("gone_hash")), "left_anti")
+    repeated = durable(judged.where("keep").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")))
+    if not repeated.isEmpty():  # rows alike in id and text: one of each
+        alike = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("__text_hash") == F.col("again_hash"))
+        once = left.join(repeated, alike, "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+        left = left.join(repeated, alike, "left_anti").unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -111,8 +111,11 @@ def secret_report(documents: DataFrame) -> DataFrame:
     return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans_text(F.col("secret_base")), 256).alias("base_sha256"), spans_text(F.col("secret_spans")).alias("spans"))
 
 
-def redact_secrets(documents: DataFrame) -> DataFrame:
-    """``documents`` with every reported span of its text replaced by ``[KIND]``; overlapping spans become one. A null text stays null."""
+def redact_secrets(documents: DataFrame, length_column: str = "n_chars") -> DataFrame:
+    """``documents`` with every reported span of its text replaced by ``[KIND]``, its columns in order.
+
+    Overlapping spans become one. Where a text changes, ``length_column`` (if there is one) gets its new length. A null text stays null.
+    """
     scanned = scan_secrets(documents)
     text, spans = F.col("text"), F.col("secret_spans")
 
@@ -124,4 +127,7 @@ def redact_secrets(documents: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
     redacted = F.aggregate(spans, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
-    return scanned.withColumn("text", F.when(F.size(spans) > 0, redacted).otherwise(text)).drop("secret_base", "secret_spans")
+    out = scanned.withColumn("__new", F.when(F.size(spans) > 0, redacted)).withColumn("text", F.coalesce("__new", "text"))
+    if length_column in documents.columns:
+        out = out.withColumn(length_column, F.when(F.col("__new").isNotNull(), F.length("__new").cast(documents.schema[length_column].dataType)).otherwise(F.col(length_column)))
+    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
