@@ -41,9 +41,10 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], pieces: list[byte
     before: list[int] = []
     starts: list[int] = []
     for word in words:
-        base = len(symbols)
-        starts.append(base)
-        size = len(word)
+        base, size = len(symbols), len(word)
+        starts.append(base if size else -1)
+        if not size:
+            continue
         symbols.extend(word[i : i + 1] for i in range(size))
         after.extend(range(base + 1, base + size))
         after.append(-1)
@@ -97,10 +98,9 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], pieces: list[byte
     out = []
     for at in starts:
         ids = []
-        if at < len(symbols):
-            while at >= 0:
-                ids.append(ranks[symbols[at]])
-                at = after[at]
+        while at >= 0:
+            ids.append(ranks[symbols[at]])
+            at = after[at]
         out.append(ids)
     return out
 

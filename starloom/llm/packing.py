@@ -150,14 +150,14 @@ def rank_file_tokenizer(path: str, pattern: str, special: dict[str, int], json_p
     return encode
 
 
-def pack_documents(documents: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], tiers: tuple[int, ...] = TIERS, with_ids: bool = False) -> DataFrame:
+def pack_documents(documents: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], tiers: tuple[int, ...] = TIERS, with_ids: bool = False, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
     """Tokenize and pack ``documents`` (doc_id, text); one row per piece.
 
     ``encoder`` makes, once in each task, a function from texts to arrays of ids; each document gets ``SEPARATOR`` at its
     end. Columns: ``PIECES``, and with ``with_ids`` the piece's ids as little-endian 32-bit numbers. sequence_id and
     step_group are unique in the table; a step group holds ``STEP_TOKENS`` tokens, but for the last of each input
     partition. A null text is empty, so a document of one token; repeated rows and rows with a null doc_id are documents
-    of their own. An empty table gives no rows. Nothing is shuffled: each task packs its own documents, so numbers and
+    of their own. An empty table gives no rows. A task holds some ``buffer_tokens`` at a time. Nothing is shuffled: each task packs its own documents, so numbers and
     packing depend on how the input is split, and a repeated task gives the same rows.
     """
     schema = PIECES + (", ids binary" if with_ids else "")
@@ -201,7 +201,7 @@ def pack_documents(documents: DataFrame, encoder: Callable[[], Callable[[list[st
                     packer.add(number, len(ids))
                     number += 1
                     buffered += len(ids)
-                if buffered >= BUFFER_TOKENS:
+                if buffered >= buffer_tokens:
                     packer.pack()
                     yield from flush()
                     buffered = 0

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starloom.llm.tables import packed_rows
 from starloom.llm.words import WordHashes, windows
 
 SPACES = " \t\n\r\x0b\x0c"  # fixed: everything else is part of a word
@@ -222,3 +223,9 @@ def apply_quality_rules(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     s = F.col("quality_statistics")
     judged = documents.withColumn("quality_statistics", text_statistics(F.col("text"))).withColumn("base_failed", base_failed(s)).withColumn("quality_rule", decision(rules, s))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("quality_rule").isNull())
+
+
+def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``documents`` that pass the base rule and all ``rules``, with their columns as they are, whatever their names."""
+    judged = apply_quality_rules(packed_rows(documents).select("row", F.col("row.text").alias("text")), rules)
+    return judged.where("kept").select("row.*")

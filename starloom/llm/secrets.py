@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm.tables import packed_rows
+
 # Fixed patterns; a capture group that decides on the length is named by its number.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -57,8 +59,8 @@ def _named(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan_secrets(documents: DataFrame) -> DataFrame:
-    """Add to each row its spans: ``secret_base`` and ``secret_spans``, sorted arrays of (start, order, kind, end).
+def scan_secrets(documents: DataFrame, text: Column | None = None) -> DataFrame:
+    """Add to each row the spans of its ``text`` (a column of that name by default): ``secret_base`` and ``secret_spans``, sorted arrays of (start, order, kind, end).
 
     Base spans are ``assign`` (a value of 6 characters or more), ``access`` (20 or more) and ``hex`` (24 or more).
     Weak candidates are client names (``client``), bare keys of 40 characters (``key``) and addresses (``endpoint``).
@@ -70,8 +72,8 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
     A scope never leaves its document, so nothing is shuffled, and the join compares the parts of one text only. A null or
     empty text has no spans; repeated rows get equal ones; columns of these two names are replaced, others untouched.
     """
-    documents = documents.drop("secret_base", "secret_spans")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    documents = documents.drop("secret_base", "secret_spans", "__parts")
+    text = F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit(""))
     parts = documents.withColumn(
         "__parts",
         F.struct(
@@ -116,8 +118,8 @@ def redact_secrets(documents: DataFrame, length_column: str = "n_chars") -> Data
 
     Overlapping spans become one. Where a text changes, ``length_column`` (if there is one) gets its new length. A null text stays null.
     """
-    scanned = scan_secrets(documents)
-    text, spans = F.col("text"), F.col("secret_spans")
+    scanned = scan_secrets(packed_rows(documents), F.col("row.text"))
+    text, spans = F.col("row.text"), F.col("secret_spans")
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
@@ -127,7 +129,10 @@ def redact_secrets(documents: DataFrame, length_column: str = "n_chars") -> Data
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
     redacted = F.aggregate(spans, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = scanned.withColumn("__new", F.when(F.size(spans) > 0, redacted)).withColumn("text", F.coalesce("__new", "text"))
-    if length_column in documents.columns:
-        out = out.withColumn(length_column, F.when(F.col("__new").isNotNull(), F.length("__new").cast(documents.schema[length_column].dataType)).otherwise(F.col(length_column)))
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
+    changed = scanned.select("row", F.when(F.size(spans) > 0, redacted).alias("new"))
+    values = {c: F.col("row")[c] for c in documents.columns}
+    values["text"] = F.coalesce("new", "row.text")
+    if length_column in values:
+        kind = documents.schema[length_column].dataType
+        values[length_column] = F.when(F.col("new").isNotNull(), F.length("new").cast(kind)).otherwise(values[length_column])
+    return changed.select(*[c.alias(name) for name, c in values.items()])
