@@ -28,7 +28,23 @@ def packing_encoder():
     return packing.rank_file_tokenizer(path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, path("byte_bpe_50k.json"))
 
 
-@query("op1_ngram_jaccard_join")
+@query(
+    "op1_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS s FROM w),
+    classes AS MATERIALIZED (SELECT min(doc_id) AS k, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL),
+    tokens AS MATERIALIZED (SELECT k, n, unnest(s) AS t FROM classes),
+    pairs AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM tokens a JOIN tokens b ON a.t = b.t AND a.k < b.k AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+    edges AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (na + nb - shared)),
+    sides AS (SELECT a AS u, b AS v FROM edges UNION ALL SELECT b, a FROM edges),
+    reach AS (SELECT k, k AS c FROM classes UNION SELECT sides.v, reach.c FROM reach JOIN sides ON reach.k = sides.u),
+    named AS (SELECT k, min(c) AS component_id FROM reach GROUP BY k)
+    SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+    FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND list_sort(sets.s) = classes.s LEFT JOIN named USING (k)""",
+)
 def _(spark, sf_dir):
     found = ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, threshold=Fraction(90, 100))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -129,7 +145,26 @@ def _(spark, sf_dir):
     return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-@query("op9_feistel_sharding")
+def _sharding_sql(shards: int, seed: int) -> str:
+    """Row numbers by id, the rounds as a fold over their keys, the walk as a fold over its steps, and the checksum byte by byte."""
+    keys = ", ".join(f"[{m}, {c}, {s}, {i % 2}]" for i, (m, c, s) in enumerate(sharding.round_keys(seed)))
+    residue = lambda v: f"(((({v}) * k[1] + k[2]) % {sharding.PRIME}) * ((({v}) + k[3]) % {sharding.PRIME}) % {sharding.PRIME})"
+    rounds = f"""list_reduce([[y // b, y % b], {keys}], lambda s, k: CASE WHEN k[4] = 0 THEN [(s[1] + {residue("s[2]")}) % a, s[2]] ELSE [s[1], (s[2] + {residue("s[1]")}) % b] END)"""
+    return f"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+      xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, crc),
+    n AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM documents)),
+    numbered AS MATERIALIZED (SELECT d.*, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number, n, a, (n + a - 1) // a AS b FROM d, n),
+    walk AS (SELECT row_number AS r, row_number AS y, 0 AS step, n, a, b FROM numbered
+      UNION ALL SELECT r, s[1] * b + s[2], step + 1, n, a, b FROM (SELECT *, {rounds} AS s FROM walk WHERE step = 0 OR y >= n)),
+    placed AS (SELECT r AS row_number, y FROM walk WHERE step > 0 AND y < n)
+    SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(y % {shards} AS INTEGER) AS shard, y // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number
+    FROM numbered JOIN placed USING (row_number)"""
+
+
+@query("op9_feistel_sharding", _sharding_sql(24, 20240229))
 def _(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24, seed=20240229)
 
