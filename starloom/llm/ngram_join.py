@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.components import connected_components
+from starloom.llm.tables import packed_rows
 from starloom.llm.words import WordHashes, mix, windows
 from starloom.session import durable
 
@@ -273,12 +274,28 @@ def remaining_tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def shared_signatures(features: DataFrame) -> DataFrame:
-    """Rows (signature, k) of the signatures that two or more classes have; of signatures with the same classes, one."""
+    """Rows (signature, k) of the signatures that two or more classes have."""
     rows = features.select("k", F.explode("signatures").alias("signature"))
     shared = rows.groupBy("signature").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("signature")
-    members = durable(rows.join(shared, "signature").select("signature", "k").distinct())
-    alike = members.groupBy("signature").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
-    return members.join(alike.groupBy("c", "x", "y").agg(F.min("signature").alias("signature")).select("signature"), "signature")
+    return rows.join(shared, "signature").select("signature", "k").distinct()
+
+
+def cheaper_buckets(members: DataFrame) -> DataFrame:
+    """Buckets (signature, k, n) that bring together all pairs which ``members`` (signature, k, n) does, in fewer rows of tiles.
+
+    Near copies share most of their signatures, each with another choice of the group's members. Where the group of all
+    classes connected by signatures makes tiles of fewer rows than its signatures do, the group becomes one bucket.
+    """
+    leaders = members.groupBy("signature").agg(F.min("k").alias("v"))
+    edges = members.join(leaders, "signature").where("k <> v").select(F.col("k").alias("u"), "v").distinct()
+    labels = connected_components(edges).select(F.col("u").alias("k"), F.col("v").alias("group"))
+    grouped = members.join(labels, "k", "left").withColumn("group", F.coalesce("group", "k"))
+    alone = grouped.select("group", "k", "n").distinct().groupBy("group").agg(F.count("*").alias("classes"), F.max("n").alias("most"))
+    rows = grouped.groupBy("group").agg(F.count("*").alias("rows"))
+    choice = alone.join(rows, "group").select("group", (F.col("classes") * F.ceil(F.col("classes") / half_size(F.col("most"))) <= F.col("rows")).alias("whole"))
+    chosen = grouped.join(choice, "group")
+    bucket = F.when(F.col("whole"), F.xxhash64(F.lit("group"), "group")).otherwise(F.col("signature"))
+    return chosen.select(bucket.alias("signature"), "k", "n").distinct()
 
 
 def ngram_jaccard_components(documents: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -290,9 +307,9 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, threshold: Fr
     where a component has no other. component_key names the component also where ids do not; null without words. An empty table gives an empty one. Other columns are ignored.
 
     Exact at every size: the signatures lose no linked pair, and every pair of classes that shares one is compared
-    unless it is known to be in one component. A group of near copies is first compared with single members of it (a
-    number of pairs linear in the rows); only classes that stay apart are then compared with each other, in tiles
-    of bounded size. Set keys have 64 bits; a collision of two sets is found by a second hash and raises an error.
+    unless it is known to be in one component. Groups that fit into a tile are searched whole. A larger group of near copies
+    is first compared with single members of it (a number of pairs linear in the rows); only classes that stay
+    apart are then compared with each other, in tiles of bounded size. Set keys have 64 bits; a collision of two sets is found by a second hash and raises an error.
     """
     features = durable(document_features(documents, width, threshold))
     classes = durable(features.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("k2").alias("a"), F.max("k2").alias("b")))
@@ -301,10 +318,15 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, threshold: Fr
     members = durable(shared_signatures(features).join(classes.select("k", "n"), "k"))
     wanted = members.select("k").distinct().join(classes.select("k", "first"), "k")
     shingles = durable(class_shingles(documents, wanted, width))
-    links = search_tiles(star_tiles(members), shingles, threshold)
+    buckets = durable(cheaper_buckets(members))
+    sizes = buckets.groupBy("signature").agg((F.count("*") <= half_size(F.max("n"))).alias("fits"))
+    sized = durable(buckets.join(sizes, "signature"))
+    within = sized.where("fits").select(F.col("signature").alias("tile"), "k", F.lit(2).alias("role"), F.col("k").alias("comp"))
+    large = sized.where("not fits").drop("fits")
+    links = search_tiles(within.unionByName(star_tiles(large)), shingles, threshold)
     labels = connected_components(links)
-    more = search_tiles(remaining_tiles(members, labels), shingles, threshold)
-    labels = connected_components(labels.unionByName(more))
+    if not large.isEmpty():
+        labels = connected_components(labels.unionByName(search_tiles(remaining_tiles(large, labels), shingles, threshold)))
     named = classes.join(labels.select(F.col("u").alias("k"), F.col("v").alias("comp")), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_class = named.join(smallest, "comp").select("k", "comp", "component_id")
@@ -324,11 +346,11 @@ def drop_near_duplicates(documents: DataFrame, width: int = 5, threshold: Fracti
     stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
     judged = found.join(first, "component_key").withColumn("keep", stays)
     gone = judged.where("not keep").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    hashed = documents.withColumn("__text_hash", F.xxhash64("text"))
-    left = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__text_hash") == F.col("gone_hash")), "left_anti")
+    hashed = packed_rows(documents).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"))
+    left = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
     repeated = durable(judged.where("keep").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")))
     if not repeated.isEmpty():  # rows alike in id and text: one of each
-        alike = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("__text_hash") == F.col("again_hash"))
-        once = left.join(repeated, alike, "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+        alike = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("hash") == F.col("again_hash"))
+        once = left.join(repeated, alike, "left_semi").dropDuplicates(["doc_id", "hash"])
         left = left.join(repeated, alike, "left_anti").unionByName(once)
-    return left.select(*[F.col(f"`{c}`") for c in documents.columns])
+    return left.select("row.*")
