@@ -247,7 +247,7 @@ def _(spark, sf):
 
 
 @query("so_random_split", """
-SELECT CASE WHEN ((l_orderkey * 100 + l_linenumber) * 2654435761 + 42) % 1000003 < 200000 THEN 'validation' ELSE 'train' END AS part, count(*) AS n_rows, CAST(sum(l_partkey) AS BIGINT) AS key_sum FROM lineitem GROUP BY 1""")
+SELECT CASE WHEN (('0x' || substr(md5('42|' || (l_orderkey * 100 + l_linenumber)), 1, 15))::BIGINT) < 230584300921369408 THEN 'validation' ELSE 'train' END AS part, count(*) AS n_rows, CAST(sum(l_partkey) AS BIGINT) AS key_sum FROM lineitem GROUP BY 1""")
 def _(spark, sf):
     lines = derived.table(spark, sf, "lineitem")
     a, b = splits.random_split(lines, F.col("l_orderkey") * 100 + F.col("l_linenumber"))
@@ -274,13 +274,13 @@ def _(spark, sf):
 
 
 @query("so_grouped_cap", """
-SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 2654435761 + 42) % 1000003, doc_id) AS r FROM documents) WHERE r <= 50""")
+SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY (('0x' || substr(md5('42|' || (doc_id)), 1, 15))::BIGINT), doc_id) AS r FROM documents) WHERE r <= 50""")
 def _(spark, sf):
     return splits.grouped_cap(derived.table(spark, sf, "documents").select("doc_id", "lang"), "lang", F.col("doc_id"), 50)
 
 
 @query("so_sample_rows", """
-SELECT * FROM (SELECT 'rows' AS kind, o_orderkey FROM orders ORDER BY (o_orderkey * 2654435761 + 42) % 1000003, o_orderkey LIMIT 100) UNION ALL SELECT 'fraction', o_orderkey FROM orders WHERE (o_orderkey * 2654435761 + 42) % 1000003 < 100000""")
+SELECT * FROM (SELECT 'rows' AS kind, o_orderkey FROM orders ORDER BY (('0x' || substr(md5('42|' || (o_orderkey)), 1, 15))::BIGINT), o_orderkey LIMIT 100) UNION ALL SELECT 'fraction', o_orderkey FROM orders WHERE (('0x' || substr(md5('42|' || (o_orderkey)), 1, 15))::BIGINT) < 115292150460684704""")
 def _(spark, sf):
     o = derived.table(spark, sf, "orders").select("o_orderkey")
     rows, part = splits.sample_rows(o, F.col("o_orderkey"), 100), splits.sample_fraction(o, F.col("o_orderkey"), 0.1)
@@ -328,7 +328,7 @@ def _(spark, sf):
     return expand_to_targets(ids, a.groupBy("user_id").agg(F.count(F.lit(1)).alias("train_count")), "user_id", ["train_count"])
 
 
-@query("se_split_remainder", "SELECT o_orderkey FROM orders WHERE NOT (o_orderkey * 2654435761 + 7) % 1000003 < 300000")
+@query("se_split_remainder", "SELECT o_orderkey FROM orders WHERE NOT (('0x' || substr(md5('7|' || (o_orderkey)), 1, 15))::BIGINT) < 345876451382054080")
 def _(spark, sf):
     o = derived.table(spark, sf, "orders").select("o_orderkey")
     return o.join(splits.sample_fraction(o, F.col("o_orderkey"), 0.3, seed=7), "o_orderkey", "left_anti")

@@ -173,7 +173,7 @@ def user_strata(spark, sf):
 STRATA = """
 sx AS (SELECT user_id, CASE WHEN fans < 7 THEN 'low' WHEN fans < 14 THEN 'mid' ELSE 'high' END || '|' || CASE WHEN review_count > 20 THEN 'much' ELSE 'little' END AS stratum FROM users),
 nx AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY user_id) - 1 AS no, count(*) OVER (PARTITION BY stratum) AS size FROM sx),
-px AS (SELECT e.user_id, e.friend_id, t, stratum, ((('0x' || substr(md5(e.user_id || '|' || e.friend_id), 1, 8))::BIGINT + t * 7961) % 1000003) % size AS no FROM e JOIN nx ON nx.user_id = e.friend_id, (SELECT unnest(range(8)) AS t)),
+px AS (SELECT e.user_id, e.friend_id, t, stratum, (('0x' || substr(md5('42|' || e.user_id || '|' || e.friend_id), 1, 15))::BIGINT % size + t) % size AS no FROM (SELECT e.*, stratum, size, unnest(range(least(size, 64))) AS t FROM e JOIN nx ON nx.user_id = e.friend_id) e),
 mx AS (SELECT px.user_id, px.friend_id, arg_min(nx.user_id, t) AS matched_non_friend FROM px JOIN nx USING (stratum, no) WHERE nx.user_id <> px.user_id AND NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = px.user_id AND e.friend_id = nx.user_id) GROUP BY 1, 2)"""
 
 
@@ -241,7 +241,7 @@ def _(spark, sf):
     return pair_features.interaction_frame(derived.reviews(spark, sf))
 
 
-@query("se_synthetic_cold_rows", "SELECT o_orderkey, forced_new FROM (SELECT o_orderkey, false AS forced_new FROM orders UNION ALL SELECT o_orderkey, true FROM orders WHERE (o_orderkey * 2654435761 + 42) % 1000003 < 200000)")
+@query("se_synthetic_cold_rows", "SELECT o_orderkey, forced_new FROM (SELECT o_orderkey, false AS forced_new FROM orders UNION ALL SELECT o_orderkey, true FROM orders WHERE (('0x' || substr(md5('42|' || (o_orderkey)), 1, 15))::BIGINT) < 230584300921369408)")
 def _(spark, sf):
     return pair_features.with_synthetic_cold(derived.table(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey"), 0.2)
 
@@ -451,9 +451,11 @@ def _(spark, sf):
 STACK = """
 SELECT t.review_id, CASE history_band WHEN '0' THEN 0 WHEN '1' THEN 1 WHEN '2-5' THEN 2 WHEN '6-20' THEN 6 ELSE 20 END::DOUBLE AS history_band_enc, round(ln(1 + history_count), 6) AS history_count_log1p, round(coalesce(p1, g), 6) AS user_mean_rating, round(coalesce(p2, g), 6) AS business_mean_rating, round(ln(1 + coalesce(item_support, 0)), 6) AS business_review_count_log1p,
  round(least(greatest((coalesce(item_support, 0) * coalesce(p2, g) + 5 * g) / (coalesce(item_support, 0) + 5), 1), 5), 6) AS business_bayesian_prior, round(abs(coalesce(deep_prediction_raw, cb) - cb), 6) AS cb_pred_fractional_part, round(coalesce(p1, g) - coalesce(p2, g), 6) AS user_business_bias_gap,
- round(coalesce(floor((epoch_us(TIMESTAMP '2026-01-01') - epoch_us(yelping_since)) / 86400000000.0::DOUBLE) / 365.25::DOUBLE, 0), 6) AS user_tenure_years, round(coalesce(ln(1 + u.useful + u.funny + u.cool), 0), 6) AS user_total_votes_log1p, month(t.timestamp)::DOUBLE AS review_month
+ round(coalesce(floor((epoch_us(TIMESTAMP '2026-01-01') - epoch_us(yelping_since)) / 86400000000.0::DOUBLE) / 365.25::DOUBLE, 0), 6) AS user_tenure_years, round(coalesce(ln(1 + u.useful + u.funny + u.cool), 0), 6) AS user_total_votes_log1p, month(t.timestamp)::DOUBLE AS review_month,
+ round(coalesce(p3, cb), 6) AS cf_prediction, round(coalesce(p3, cb) - cb, 6) AS cf_cb_diff, history_count, coalesce(item_support, 0)::DOUBLE AS business_review_count, cb AS cb_prediction_raw,
+ round(coalesce(history_rating_std, 0), 6) AS history_rating_std, round(coalesce(correction_hat, 0), 6) AS correction_hat, round(ln(1 + greatest(t.useful, 0)), 6) AS review_useful_log1p, isodow(t.timestamp)::DOUBLE - 1 AS review_weekday
 FROM (SELECT *, round_even(incumbent_prediction_raw, 0) AS cb FROM preds) t LEFT JOIN users u ON t."user" = u.user_id"""
-STACK_COLUMNS = ["history_band_enc", "history_count_log1p", "user_mean_rating", "business_mean_rating", "business_review_count_log1p", "business_bayesian_prior", "cb_pred_fractional_part", "user_business_bias_gap", "user_tenure_years", "user_total_votes_log1p", "review_month"]
+STACK_COLUMNS = ["history_band_enc", "history_count_log1p", "user_mean_rating", "business_mean_rating", "business_review_count_log1p", "business_bayesian_prior", "cb_pred_fractional_part", "user_business_bias_gap", "user_tenure_years", "user_total_votes_log1p", "review_month", "cf_prediction", "cf_cb_diff", "history_count", "business_review_count", "cb_prediction_raw", "history_rating_std", "correction_hat", "review_useful_log1p", "review_weekday"]
 
 
 def stack_input(spark, sf):

@@ -8,6 +8,7 @@ from starloom.catalog.aggregates import test, train
 from starloom.catalog.registry import plain, query, view
 from starloom.functions import buckets, numeric
 from starloom.operators import blending, metrics, priors, routing, splits
+from starloom.operators.boosting import band_weight
 from starloom.session import durable, one_row
 from starloom.sources import derived
 
@@ -332,7 +333,7 @@ def _(spark, sf):
 BRANCH = "CASE WHEN history_count = 0 THEN 'cold_model' WHEN history_band IN ('1', '6-20') THEN 'known_prefix_deep_model' WHEN history_band = '2-5' THEN 'transition_blend_model' ELSE 'known_model' END"
 
 
-@query("rt_router_branches", f"SELECT review_id, branch AS simple, {BRANCH} AS with_transition, CASE WHEN history_count <= 0 THEN 'cold_tabular' WHEN history_count = 1 THEN 'very_short_history_tabular' WHEN history_count <= 20 THEN 'mid_history_tabular' ELSE 'long_history_tabular' END AS expert FROM ev", "ev")
+@query("rt_router_branches", f"SELECT review_id, branch AS simple, {BRANCH} AS with_transition, CASE WHEN history_count <= 0 THEN 'cold_user_tabular' WHEN history_count = 1 THEN 'very_short_history_tabular' WHEN history_count <= 20 THEN 'mid_history_tabular' ELSE 'long_history_tabular' END AS expert FROM ev", "ev")
 def _(spark, sf):
     n, band = F.col("history_count"), F.col("history_band")
     return evals(spark, sf).select(
@@ -506,3 +507,8 @@ def flagship(spark, sf):
     rows = rows.withColumn("history_band", buckets.history_band(F.coalesce("user_train_count", F.lit(0.0))))
     p = tabular_baseline("user_train_mean", "user_train_count", "business_train_mean", "business_train_count", scalars["global_mean"])
     return plain(metrics.by_group(rows.withColumn("p", numeric.round_half_up(p)), "history_band", "p"))
+
+
+@query("rt_band_weights", "SELECT review_id, history_band, CASE history_band WHEN '1' THEN 1.5 WHEN '2-5' THEN 1.2 ELSE 1 END::DOUBLE AS weight FROM ev", "ev")
+def _(spark, sf):
+    return plain(evals(spark, sf).select("review_id", "history_band", band_weight(F.col("history_band")).alias("weight")))

@@ -8,7 +8,7 @@ from starloom.catalog.aggregates import test, train
 from starloom.catalog.features import stack_input, user_vectors
 from starloom.catalog.registry import plain, query
 from starloom.functions.numeric import round_half_up
-from starloom.operators import bias, metrics
+from starloom.operators import bias, metrics, splits
 from starloom.operators.boosting import Booster, Ridge
 from starloom.plans import pair_features, stackers, training
 from starloom.session import durable, one_row
@@ -85,7 +85,7 @@ def _(spark, sf):
 @query("rt_boosted_with_synthetic_cold")
 def _(spark, sf):
     t, i, u = train(spark, sf), derived.item_embeddings(spark, sf), user_vectors(spark, sf)
-    key = F.pmod(F.crc32("review_id"), F.lit(1_000_003))
+    key = F.col("review_id")
     fit_rows = pair_features.with_synthetic_cold(t, key, 0.2)
     context = pair_features.fit_review_context(t)
     frame = lambda df, forced: pair_features.boosting_features(df, u, i, t, context, 64, forced)
@@ -105,8 +105,9 @@ def stacker(version):
     @query(f"rt_stacker_{version}")
     def _(spark, sf):
         rows = stacked(spark, sf)
-        fit = rows if version in ("v5", "v6") else rows.filter(F.col("history_band") != "0")
-        return plain(stackers.run_stacker(version, fit, rows if version in ("v5", "v6") else fit, rounds=2))
+        rows = rows if version in ("v5", "v6") else rows.filter(F.col("history_band") != "0")
+        first, second = splits.random_split(rows, F.col("review_id"), 0.5)  # each half is scored by the model of the other
+        return plain(stackers.run_stacker(version, first, second).unionByName(stackers.run_stacker(version, second, first)))
 
 
 for _version in ("v1", "v2", "v3", "v4", "v5", "v6"):

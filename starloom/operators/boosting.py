@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.numeric import clip
-from starloom.session import durable
+from starloom.session import durable, one_row
 
 # Boosting settings per history band: shallow and strongly damped where little is known.
 PARAMS_BY_BAND = {
@@ -16,7 +16,7 @@ PARAMS_BY_BAND = {
     "known": {"maxDepth": 5, "stepSize": 0.1, "minInstancesPerNode": 20, "subsamplingRate": 0.9},
     "known_prefix": {"maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 30, "subsamplingRate": 0.9},
 }
-COLD_WEIGHTS = {"0": 1.5, "1": 1.2}
+COLD_WEIGHTS = {"1": 1.5, "2-5": 1.2}  # all other bands weigh 1
 
 
 def band_weight(band: Column) -> Column:
@@ -85,20 +85,27 @@ class Booster:
 
 
 class Ridge:
-    """Ridge regression on standardized columns."""
+    """Ridge regression on standardized columns. A missing feature counts as its mean over the fit rows, also when scoring."""
 
     def __init__(self, features: list[str], label="rating", alpha: float = 1.0):
         self.features, self.label, self.alpha = features, label, alpha
 
     def fit(self, train: DataFrame) -> "Ridge":
-        self.assembler = VectorAssembler(inputCols=self.features, outputCol="_raw", handleInvalid="skip")
-        rows = self.assembler.transform(train.select(*self.features, self.label))
+        present = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in self.features}
+        means = one_row(train.agg(*[F.avg(v).alias(c) for c, v in present.items()]))
+        self.fill = {c: F.coalesce(v, F.lit(float(means[c] or 0.0))) for c, v in present.items()}
+        self.assembler = VectorAssembler(inputCols=[f"_x_{c}" for c in self.features], outputCol="_raw")
+        rows = durable(self._assembled(train.select(*self.features, self.label).filter(F.col(self.label).isNotNull())))
         self.scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True).fit(rows)
         n = max(rows.count(), 1)
         learner = LinearRegression(featuresCol="_features", labelCol=self.label, predictionCol="_p", elasticNetParam=0.0, regParam=self.alpha / n, standardization=False)
         self.model = learner.fit(self.scaler.transform(rows))
         return self
 
+    def _assembled(self, df: DataFrame) -> DataFrame:
+        filled = df.withColumns({f"_x_{c}": v for c, v in self.fill.items()})
+        return self.assembler.transform(filled).drop(*[f"_x_{c}" for c in self.features])
+
     def score(self, df: DataFrame, keep: list[str], out: str = "prediction") -> DataFrame:
-        rows = self.model.transform(self.scaler.transform(self.assembler.transform(df)))
+        rows = self.model.transform(self.scaler.transform(self._assembled(df)))
         return rows.select(*keep, clip(F.col("_p"), 1, 5).alias(out))

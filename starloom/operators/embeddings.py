@@ -85,6 +85,7 @@ def sparse_health(long: DataFrame, key: str, n_dims: int) -> DataFrame:
 
 
 MAX_QUERY_ROWS = 20_000
+CENTROID_BLOCK = 1_000
 
 
 def nearest(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
@@ -147,16 +148,22 @@ def coherence_summary(coherence: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def centroid_similarity(df: DataFrame, label: str, labels: list[str] | None = None) -> DataFrame:
-    """Cosine between the mean unit vectors of every two labels.
+    """Cosine between the mean unit vectors of every two of ``labels`` (all labels by default).
 
-    Labels are few; their centroids come from one aggregate and are compared on the driver.
+    Centroids come from one aggregate and stay a table. Their pairs are the result itself; each centroid meets the
+    others through blocks, so that no side has to fit into one task.
     """
     width = width_of(df)
     rows = df.filter(F.col(label).isin(labels)) if labels else df
-    means = rows.groupBy(label).agg(vectors.mean_vectors(vectors.unit(F.col("embedding")), width).alias("m")).orderBy(label).limit(1000).collect()
-    unit = [np.array(r["m"]) / max(np.linalg.norm(r["m"]), 1e-12) for r in means]
-    out = [(str(a[label]), str(b[label]), float(x @ y)) for a, x in zip(means, unit) for b, y in zip(means, unit)]
-    return df.sparkSession.createDataFrame(out, "first string, second string, cosine double")
+    rows = rows.filter(F.col(label).isNotNull())
+    means = rows.groupBy(F.col(label).cast("string").alias("name")).agg(vectors.mean_vectors(vectors.unit(F.col("embedding")), width).alias("m"))
+    centroids = durable(means.select("name", vectors.unit(F.col("m")).alias("m")))
+    blocks = max(1, -(-centroids.count() // CENTROID_BLOCK))
+    block = F.pmod(F.xxhash64("name"), F.lit(blocks))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    first = centroids.select(F.col("name").alias("first"), F.col("m").alias("_a"), block.alias("_p")).withColumn("_q", copies)
+    second = centroids.select(F.col("name").alias("second"), F.col("m").alias("_b"), block.alias("_q")).withColumn("_p", copies)
+    return first.join(second, ["_p", "_q"]).select("first", "second", vectors.dot(F.col("_a"), F.col("_b")).alias("cosine"))
 
 
 def neighbour_overlap(first: DataFrame, second: DataFrame, k: int) -> DataFrame:

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import text, vectors
 from starloom.operators.skew import before_each_row, quantiles, top_rows
-from starloom.session import one_row
-
-HASH_STEPS = 1_000_003
+from starloom.session import durable, one_row
 
 
 def friend_edges(users: DataFrame) -> DataFrame:
@@ -62,24 +60,34 @@ def with_friend_ratings(frame: DataFrame, users: DataFrame, train: DataFrame, ov
 def matched_strangers(edges: DataFrame, strata: DataFrame, tries: int = 8, seed: int = 42) -> DataFrame:
     """For each edge one user of the friend's stratum who is neither the anchor nor a friend of the anchor.
 
-    Members of a stratum are numbered, and an edge proposes ``tries`` numbers from a hash of its key; the first
-    that passes is taken. An edge needs only those few candidates, so a stratum that holds most users costs no
-    more than any other. Edges whose stratum has nobody else stay without a match.
+    Members of a stratum are numbered by id. An edge draws a first number from a 60-bit hash of its key and seed and takes the next
+    free number after it, going round. It proposes ``tries`` numbers at a time; edges still open propose as
+    many again as they have proposed, until each is matched or has gone round its whole stratum. So an edge
+    stays without a match only if its stratum holds nobody free.
     """
     keyed = strata.select("user_id", "stratum").withColumn("_one", F.lit(1))
     numbered = before_each_row(keyed, ["stratum"], ["user_id"], {"_before": ("sum", "_one")})
-    numbered = numbered.select(F.col("user_id").alias("candidate"), F.col("stratum").alias("_cs"), F.coalesce("_before", F.lit(0)).alias("_no"))
+    numbered = durable(numbered.select(F.col("user_id").alias("candidate"), F.col("stratum").alias("_cs"), F.coalesce("_before", F.lit(0)).alias("_no")))
     sizes = strata.groupBy(F.col("stratum").alias("_ss")).agg(F.count(F.lit(1)).alias("_size"))
     e = edges.join(strata.select(F.col("user_id").alias("_f"), "stratum"), F.col("friend_id") == F.col("_f")).drop("_f")
     e = e.join(sizes, e["stratum"] == sizes["_ss"]).drop("_ss")
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", "user_id", "friend_id")), 1, 8), 16, 10).cast("bigint")
-    e = e.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    e = e.withColumn("_no", F.pmod(F.pmod(key + F.col("_try") * F.lit(7919 + seed), F.lit(HASH_STEPS)), F.col("_size")))
-    proposed = e.join(numbered, (e["stratum"] == numbered["_cs"]) & (e["_no"] == numbered["_no"])).select("user_id", "friend_id", "_try", "candidate")
-    proposed = proposed.filter(F.col("candidate") != F.col("user_id"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "user_id", "friend_id"))
+    still = durable(e.select("user_id", "friend_id", "stratum", "_size", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("_start")))
     friends = edges.select(F.col("user_id").alias("_u"), F.col("friend_id").alias("_v"))
-    fine = proposed.join(friends, (proposed["user_id"] == friends["_u"]) & (proposed["candidate"] == friends["_v"]), "left_anti")
-    return fine.groupBy("user_id", "friend_id").agg(F.min_by("candidate", "_try").alias("matched_non_friend"))
+    done, found = 0, None
+    while True:
+        upto = done + max(tries, done)
+        some = still.withColumn("_try", F.explode(F.sequence(F.lit(done).cast("bigint"), F.least(F.lit(upto), F.col("_size")) - 1)))
+        some = some.withColumn("_no", F.pmod(F.pmod("_start", "_size") + F.col("_try"), F.col("_size")))
+        proposed = some.join(numbered, (some["stratum"] == numbered["_cs"]) & (some["_no"] == numbered["_no"])).select("user_id", "friend_id", "_try", "candidate")
+        proposed = proposed.filter(F.col("candidate") != F.col("user_id"))
+        fine = proposed.join(friends, (proposed["user_id"] == friends["_u"]) & (proposed["candidate"] == friends["_v"]), "left_anti")
+        matched = durable(fine.groupBy("user_id", "friend_id").agg(F.min_by("candidate", "_try").alias("matched_non_friend")))
+        found = matched if found is None else found.unionByName(matched)
+        done = upto
+        still = durable(still.filter(F.col("_size") > done).join(matched, ["user_id", "friend_id"], "left_anti"))
+        if still.isEmpty():
+            return found
 
 
 def strata(users: DataFrame, columns: dict[str, Column]) -> DataFrame:

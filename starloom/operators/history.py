@@ -7,15 +7,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions import vectors
 from starloom.functions.dates import DAY_MICROS
-from starloom.operators.skew import before_each_row, last_rows_before, long_keys, rows_per_task, top_rows
+from starloom.operators.skew import before_each_row, has_long_keys, last_rows_before, quantiles, top_rows
 
 ORDER = ["timestamp", "review_id"]
-MAX_LEVELS = 64
+MAX_LEVELS = 64  # up to so many distinct ratings, medians come from counts per level
 FACETS = {
     "city": "business_city_top", "state": "business_state", "category": "business_primary_category_family",
     "is_open": "business_is_open",
@@ -57,6 +57,13 @@ def median_from_levels(levels: list[float], counts: list[Column]) -> Column:
     return (at(low) + at(high)) / 2
 
 
+def _median(levels: list[float] | None) -> Column:
+    """From the counts per level where there are few levels, else from the column made for it."""
+    if levels is None:
+        return F.col("_median")
+    return median_from_levels(levels, [F.coalesce(f"_c{i}", F.lit(0)) for i in range(len(levels))]) if levels else F.lit(None).cast("double")
+
+
 def _statistics(n, s, ss, low, high, median, positive, negative, stars, first, last, now, candidate, overall) -> dict[str, Column]:
     has = F.coalesce(n, F.lit(0)) > 0
     mean = s / n
@@ -126,19 +133,21 @@ _SUMS = {
 def prefix_statistics(df: DataFrame, overall: float) -> DataFrame:
     """Running statistics and affinities over each user's earlier reviews.
 
-    Needs user, timestamp, review_id, rating, business_stars and the facet columns. The median comes from
-    running counts per rating level, so that it can be carried across pieces of a long history.
+    Needs user, timestamp, review_id, rating, business_stars and the facet columns. With few distinct ratings the median
+    comes from running counts per level, so that it can be carried across pieces of a long history. With
+    many, each user's ratings are kept in order by a running percentile, a user to a task.
     """
-    levels = rating_levels(df, "rating")
-    if levels is None:
-        raise ValueError(f"more than {MAX_LEVELS} distinct ratings; round them before asking for a running median")
+    known = rating_levels(df, "rating")
+    levels = known or []
     work = _prepared(df, overall, levels)
     sums = {**_SUMS, **{f"_c{i}": ("sum", f"_level{i}") for i in range(len(levels))}}
-    long_histories = bool(long_keys(work, ["user"], rows_per_task(df.sparkSession))[0])
+    long_histories = has_long_keys(work, ["user"])
+    if known is None:
+        earlier = Window.partitionBy("user").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+        work = work.withColumn("_median", F.percentile("rating", F.lit(0.5)).over(earlier))
     work = before_each_row(work, ["user"], ORDER, sums, check=long_histories)
-    counts = [F.coalesce(f"_c{i}", F.lit(0)) for i in range(len(levels))]
     stats = _statistics(
-        F.col("_n"), F.col("_s"), F.col("_ss"), F.col("_low"), F.col("_high"), median_from_levels(levels, counts), F.col("_npos"),
+        F.col("_n"), F.col("_s"), F.col("_ss"), F.col("_low"), F.col("_high"), _median(known), F.col("_npos"),
         F.col("_nneg"), F.col("_sstars"), F.col("_first"), F.col("_last"), F.col("_micros"), F.col("_stars"), overall,
     )
     work = work.withColumns(stats)
@@ -152,19 +161,20 @@ def prefix_statistics(df: DataFrame, overall: float) -> DataFrame:
 
 def context_statistics(target: DataFrame, context: DataFrame, overall: float) -> DataFrame:
     """The same columns for target rows, from a fixed context that the target rows do not belong to."""
-    levels = rating_levels(context, "rating")
-    if levels is None:
-        raise ValueError(f"more than {MAX_LEVELS} distinct ratings; round them first")
+    known = rating_levels(context, "rating")
+    levels = known or []
     ctx = _prepared(context, overall, levels)
     sums = {**_SUMS, **{f"_c{i}": ("sum", f"_level{i}") for i in range(len(levels))}}
     agg = {"sum": F.sum, "min": F.min, "max": F.max}
     per_user = ctx.groupBy(F.col("user").alias("_u")).agg(*[agg[k](c).alias(out) for out, (k, c) in sums.items()])
     rows = _prepared(target.withColumn("rating", F.lit(None).cast("double")), overall, []).drop("_one", "_square", "_positive", "_negative")
+    if known is None:
+        medians = quantiles(context, ["user"], "rating", {"_median": 0.5}).select(F.col("user").alias("_mu"), "_median")
+        per_user = per_user.join(medians, per_user["_u"].eqNullSafe(medians["_mu"]), "left").drop("_mu")
     work = rows.join(per_user, rows["user"] == per_user["_u"], "left").drop("_u")
-    counts = [F.coalesce(f"_c{i}", F.lit(0)) for i in range(len(levels))]
     work = work.withColumns(
         _statistics(
-            F.col("_n"), F.col("_s"), F.col("_ss"), F.col("_low"), F.col("_high"), median_from_levels(levels, counts), F.col("_npos"),
+            F.col("_n"), F.col("_s"), F.col("_ss"), F.col("_low"), F.col("_high"), _median(known), F.col("_npos"),
             F.col("_nneg"), F.col("_sstars"), F.col("_first"), F.col("_last"), F.col("_micros"), F.col("_stars"), overall,
         )
     )
@@ -219,7 +229,7 @@ def _with_days(events: str, now: Column) -> Column:
 def event_sequences(df: DataFrame, n: int = 20) -> DataFrame:
     """The last ``n`` earlier events ``(item, rating, days)``, oldest first, and the exact earlier count."""
     order = ["timestamp", "item", "review_id"]
-    long_histories = bool(long_keys(df, ["user"], rows_per_task(df.sparkSession))[0])
+    long_histories = has_long_keys(df, ["user"])
     work = last_rows_before(df, ["user"], order, _event(), n, "events", check=long_histories)
     counted = work.withColumn("_one", F.lit(1))
     work = before_each_row(counted, ["user"], order, {"exact_history_count": ("sum", "_one")}, check=long_histories)

@@ -18,7 +18,7 @@ def router_branch(known: Column, band: Column, prefix_bands: list[str], transiti
     return out.otherwise("known_model")
 
 
-EXPERTS = {"0": "cold_tabular", "1": "very_short_history_tabular", "2-20": "mid_history_tabular", ">20": "long_history_tabular"}
+EXPERTS = {"0": "cold_user_tabular", "1": "very_short_history_tabular", "2-20": "mid_history_tabular", ">20": "long_history_tabular"}
 
 
 def expert_branch(collapsed: Column) -> Column:

@@ -2,9 +2,10 @@
 
 A plain ``Window.partitionBy(key)`` sends a whole key to one task. The functions here first count
 rows per key (a map-side combined aggregate). When no key is over the task limit, the plain window is
-used. Otherwise the long keys are divided at sampled cut points of the sort order, the pieces are
-processed in parallel, and what a piece needs from the pieces before it is carried over. The cut
-points only decide where a group is divided, so results do not depend on them.
+used. Otherwise the rows of long keys are range-partitioned by key and sort order, the pieces are processed in
+parallel, and what a piece needs from the pieces before it is carried over. The pieces are stored once, so
+that every later use reads them, and chained calls do not multiply the work. Where a group is
+divided does not change results.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.session import durable, one_row
+
 DEFAULT_ROWS_PER_TASK = 2_000_000
-MAX_LONG_KEYS = 20_000
-CUTS_SAMPLE = 16
 CHUNK = "_chunk"
 
 
@@ -52,56 +53,36 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 
 
-def long_keys(df: DataFrame, keys: list[str], limit: int) -> tuple[list, int]:
-    """Keys with more than ``limit`` rows, with their counts. There are at most ``rows / limit`` of them."""
-    while True:
-        if keys:
-            counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        else:
-            counted = df.agg(F.count(F.lit(1)).alias("_rows"))
-        found = counted.filter(F.col("_rows") > limit).limit(MAX_LONG_KEYS + 1).collect()
-        if len(found) <= MAX_LONG_KEYS:
-            return found, limit
-        limit *= 8
+def long_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The keys with more than ``limit`` rows and their counts, as a table (at most rows / ``limit`` of them)."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else df.agg(F.count(F.lit(1)).alias("_rows"))
+    return durable(counted.filter(F.col("_rows") > limit))
+
+
+def has_long_keys(df: DataFrame, keys: list[str]) -> bool:
+    return not long_keys(df, keys, rows_per_task(df.sparkSession)).isEmpty()
 
 
-def divide_long_groups(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame | None:
-    """``df`` with a ``_chunk`` number that grows with ``order`` inside each key; None if no key is long.
+def divide_long_groups(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame | None, DataFrame] | None:
+    """The rows of ordinary keys, and the stored rows of long keys with a ``_chunk`` number that grows with ``order``.
 
-    ``order`` must identify a row inside its key, so that any amount of ties can be divided.
+    None if no key is long. Without ``keys`` all rows are one group, and there are no ordinary ones. ``order`` must
+    identify a row inside its key, so that any amount of ties can be divided. A key's chunks are the range partitions
+    it lies in, so their numbers need not start at 0.
     """
-    spark = df.sparkSession
-    found, limit = long_keys(df, keys, rows_per_task(spark))
-    if not found:
+    limit = rows_per_task(df.sparkSession)
+    found = long_keys(df, keys, limit)
+    total = one_row(found.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")))["n"]
+    if not total:
         return None
-    key_schema = df.select(*keys).schema if keys else None
-    step = max(limit // CUTS_SAMPLE, 1)
-    rows = df
-    if keys:
-        hot = spark.createDataFrame([tuple(r[k] for k in keys) for r in found], key_schema)
-        hot = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
-        match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys])
-        rows = df.join(hot, match, "left_semi")
-    sampled = rows.select(*keys, *order).filter(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
-    ranked = sampled.withColumn(
-        "_n", F.row_number().over(Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order))
-    )
-    cut_rows = ranked.filter(F.col("_n") % CUTS_SAMPLE == 0).drop("_n")
-    frozen = spark.createDataFrame(cut_rows.collect(), cut_rows.schema)
-    cut = F.struct(*[F.col(c) for c in order])
+    rest, hot = None, df
     if keys:
-        cuts = frozen.groupBy(*[F.col(k).alias(f"_cut_{k}") for k in keys]).agg(
-            F.collect_list(cut).alias("_cuts")
-        )
-        cuts = F.broadcast(cuts)
-        match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(cuts[f"_cut_{k}"]) for k in keys])
-        joined = df.join(cuts, match, "left").drop(*[f"_cut_{k}" for k in keys])
-    else:
-        cuts = F.broadcast(frozen.agg(F.collect_list(cut).alias("_cuts")))
-        joined = df.join(cuts, F.lit(True), "left")
-    here = F.struct(*[F.col(c) for c in order])
-    chunk = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= here)), F.lit(0))
-    return joined.withColumn(CHUNK, chunk).drop("_cuts")
+        named = found.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+        match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(named[f"_hot_{k}"]) for k in keys])
+        rest, hot = df.join(named, match, "left_anti"), df.join(named, match, "left_semi")
+    pieces = max(2, -(-2 * total // limit))
+    ranged = hot.repartitionByRange(pieces, *[F.col(c).asc_nulls_first() for c in [*keys, *order]])
+    return rest, durable(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
 _WINDOW = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -134,46 +115,46 @@ def up_to_each_row(
 
 
 def _running(df, keys, order, aggregates, end, check=True):
+    def framed(rows, group):
+        w = Window.partitionBy(*[F.col(k) for k in group]).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return rows.withColumns({out: _WINDOW[k](c).over(w) for out, (k, c) in aggregates.items()})
+
     divided = divide_long_groups(df, keys, order) if check else None
     if divided is None:
-        w = (
-            Window.partitionBy(*[F.col(k) for k in keys])
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, end)
-        )
-        return df.withColumns({out: _WINDOW[k](c).over(w) for out, (k, c) in aggregates.items()})
+        return framed(df, keys)
+    rest, hot = divided
     group = [*keys, CHUNK]
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    inside = divided.withColumns({out: _WINDOW[k](c).over(w) for out, (k, c) in aggregates.items()})
-    # keys that were not divided have the single chunk 0 and need nothing carried over
-    totals = divided.groupBy(*group).agg(*[_WINDOW[k](c).alias(out) for out, (k, c) in aggregates.items()])
+    inside = framed(hot, group)
+    totals = hot.groupBy(*group).agg(*[_WINDOW[k](c).alias(out) for out, (k, c) in aggregates.items()])
     cw = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *[F.col(g).alias(f"_k_{g}") for g in group],
         *[_WINDOW[k](out).over(cw).alias(f"_before_{out}") for out, (k, _) in aggregates.items()],
-    ).filter(F.col(f"_k_{CHUNK}") > 0)
+    )
     match = reduce(lambda a, b: a & b, [inside[g].eqNullSafe(carried[f"_k_{g}"]) for g in group])
-    joined = inside.join(carried, match, "left")
-    combined = {
-        out: _combine(k, F.col(f"_before_{out}"), F.col(out)) for out, (k, _) in aggregates.items()
-    }
-    return joined.withColumns(combined).select(*df.columns, *aggregates)
+    combined = {out: _combine(k, F.col(f"_before_{out}"), F.col(out)) for out, (k, _) in aggregates.items()}
+    whole = inside.join(carried, match, "left").withColumns(combined).select(*df.columns, *aggregates)
+    return whole if rest is None else framed(rest, keys).select(*df.columns, *aggregates).unionByName(whole)
 
 
 def last_rows_before(
     df: DataFrame, keys: list[str], order: list[str], event: Column, n: int, out: str, check: bool = True
 ) -> DataFrame:
     """An array of the last ``n`` events of the same key strictly before each row, oldest first."""
+
+    def framed(rows, group):
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(-n, -1)
+        return rows.withColumn(out, F.collect_list(event).over(w))
+
     divided = divide_long_groups(df, keys, order) if check else None
     if divided is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
-        return df.withColumn(out, F.collect_list(event).over(w))
+        return framed(df, keys)
+    rest, hot = divided
     group = [*keys, CHUNK]
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(-n, -1)
-    inside = divided.withColumn(out, F.collect_list(event).over(w))
+    inside = framed(hot, group)
     back = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
     tails = (
-        divided.withColumn("_event", event)
+        hot.withColumn("_event", event)
         .withColumn("_back", F.row_number().over(back))
         .filter(F.col("_back") <= n)
         .groupBy(*group)
@@ -190,9 +171,9 @@ def last_rows_before(
     both = F.when(F.col("_carried").isNull(), F.col(out)).otherwise(F.concat("_carried", out))
     joined = inside.join(carried, match, "left").withColumn("_both", both)
     size = F.size("_both")
-    return joined.withColumn(
-        out, F.slice("_both", F.greatest(size - n + 1, F.lit(1)), F.least(size, F.lit(n)))
-    ).select(*df.columns, out)
+    last = F.slice("_both", F.greatest(size - n + 1, F.lit(1)), F.least(size, F.lit(n)))
+    whole = joined.withColumn(out, last).select(*df.columns, out)
+    return whole if rest is None else framed(rest, keys).select(*df.columns, out).unionByName(whole)
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -210,7 +191,7 @@ def quantiles(
     Otherwise groups with more distinct values than a task may hold are ranked in pieces.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    if few_values or not long_keys(counted, by, rows_per_task(df.sparkSession))[0]:
+    if few_values or not has_long_keys(counted, by):
         aggs = [F.expr(f"percentile(`{value}`, {p}D, _n)").alias(name) for name, p in probabilities.items()]
         return counted.groupBy(*by).agg(*aggs) if by else counted.agg(*aggs)
     ranked = before_each_row(counted, by, [value], {"_below": ("sum", "_n")}).withColumn(

@@ -9,7 +9,7 @@ from starloom.functions import buckets
 from starloom.operators.skew import quantiles, top_rows
 from starloom.session import one_row
 
-HASH_STEPS = 1_000_003
+HASH_STEPS = 1 << 60
 
 
 def temporal_cut(df: DataFrame, validation: float, timestamp: str, tie: str) -> tuple:
@@ -47,8 +47,9 @@ def temporal_split(df: DataFrame, validation: float = 0.2, timestamp: str = "tim
 
 
 def hash_number(column: Column, seed: int) -> Column:
-    """A repeatable number in 0..1000002 from a whole-number key, by plain arithmetic."""
-    return F.pmod(column.cast("bigint") * F.lit(2_654_435_761) + F.lit(seed), F.lit(HASH_STEPS))
+    """A repeatable number of 60 bits from a key and a seed: the first 15 digits of an MD5 digest."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), column.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def random_split(df: DataFrame, key: Column, validation: float = 0.2, seed: int = 42):

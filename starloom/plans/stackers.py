@@ -21,10 +21,14 @@ def attach_engagement(df: DataFrame, reviews: DataFrame) -> DataFrame:
     return df.join(engagement, "review_id", "left")
 
 
+# Fixed names: the columns define each meta model.
 STACK_FEATURES = {
-    "v1": ["cb_prediction_raw", "cf_prediction", "history_band_enc", "history_count_log1p", "user_mean_rating", "business_mean_rating"],
-    "v2": ["cb_prediction_raw", "cf_prediction", "history_band_enc", "history_count_log1p", "user_mean_rating", "business_mean_rating", "user_rating_std", "business_rating_std"],
-    "v3": ["cb_prediction_raw", "history_band_enc", "history_count_log1p", "history_rating_std", "user_mean_rating", "business_mean_rating", "business_review_count_log1p", "cb_pred_fractional_part"],
+    "v1": ["cf_prediction", "cb_prediction_raw", "history_band_enc", "history_count", "history_rating_std", "cf_cb_diff"],
+    "v2": [
+        "cf_prediction", "cb_prediction_raw", "history_band_enc", "history_count", "history_rating_std", "user_mean_rating", "business_mean_rating",
+        "business_review_count", "cf_cb_diff",
+    ],
+    "v3": ["cb_prediction_raw", "history_band_enc", "history_count", "history_rating_std", "user_mean_rating", "business_mean_rating", "business_review_count"],
     "v4": [
         "cb_prediction_raw", "history_band_enc", "history_count_log1p", "history_rating_std", "user_mean_rating", "business_mean_rating", "business_review_count_log1p",
         "history_positive_share", "history_negative_share", "cb_pred_fractional_part", "correction_hat", "review_useful_log1p", "review_funny_log1p", "review_month", "review_weekday",
@@ -35,6 +39,14 @@ STACK_FEATURES = {
         "business_bayesian_prior", "history_positive_share", "history_negative_share", "cb_pred_fractional_part", "correction_hat", "review_useful_log1p",
         "user_tenure_years", "user_elite_any", "user_total_votes_log1p", "user_business_bias_gap",
     ],
+    "v6_known": [
+        "cb_prediction_raw", "history_band_enc", "history_count_log1p", "history_rating_std", "user_mean_rating", "business_mean_rating", "business_review_count_log1p",
+        "business_bayesian_prior", "history_positive_share", "history_negative_share", "cb_pred_fractional_part", "correction_hat", "review_useful_log1p",
+        "user_tenure_years", "user_elite_any", "user_total_votes_log1p", "user_business_bias_gap",
+    ],
+    "v6_cold": [
+        "business_mean_rating", "business_review_count_log1p", "business_bayesian_prior", "user_tenure_years", "user_elite_any", "user_total_votes_log1p", "review_useful_log1p",
+    ],
 }
 
 
@@ -74,11 +86,13 @@ def stack_rows(rows: DataFrame, train: DataFrame, users: DataFrame, overall: flo
     g = F.lit(overall)
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0)
     part = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    cf = F.coalesce("cf_prediction", "cb_prediction_raw") if "cf_prediction" in rows.columns else F.col("cb_prediction_raw")  # a missing one agrees
     n = F.coalesce(F.col("business_review_count").cast("double"), F.lit(0.0))
     return df.withColumns(
         {
             "history_band_enc": band_code(F.col("history_band")), "history_count_log1p": F.log1p(F.coalesce("history_count", F.lit(0))),
-            **{c: zero(c) for c in ("history_rating_std", "history_positive_share", "history_negative_share", "correction_hat", "cf_prediction")},
+            **{c: zero(c) for c in ("history_rating_std", "history_positive_share", "history_negative_share", "correction_hat")},
+            "cf_prediction": cf, "cf_cb_diff": cf - F.col("cb_prediction_raw"), "history_count": F.coalesce("history_count", F.lit(0)), "business_review_count": n,
             "cb_pred_fractional_part": F.abs(F.coalesce("deep_prediction_raw", "cb_prediction_raw") - F.col("cb_prediction_raw")),
             "business_review_count_log1p": F.log1p(n), "business_bayesian_prior": numeric.bayesian_prior(F.col("business_mean_rating"), n, overall),
             "user_business_bias_gap": F.coalesce("user_mean_rating", g) - F.coalesce("business_mean_rating", g),
@@ -105,13 +119,13 @@ def cold_stack_rows(validation: DataFrame, train: DataFrame, users: DataFrame, o
 
 
 def run_stacker(version: str, fit_rows: DataFrame, score_rows: DataFrame, rounds: int = 5) -> DataFrame:
-    """Fit one stacker and score rows: v1 to v5 are one model, v6 is v4 on known and v5 on new users."""
+    """Fit one stacker and score rows: v1 to v5 are one model, v6 is one model for known and one for new users."""
     from starloom.operators.boosting import Booster
 
     keep = ["review_id", "history_band"] + (["rating"] if "rating" in score_rows.columns else [])
     if version == "v6":
         known = lambda df: df.filter(F.col("history_band") != "0")
         cold = lambda df: df.filter(F.col("history_band") == "0")
-        return run_stacker("v4", known(fit_rows), known(score_rows), rounds).unionByName(run_stacker("v5", cold(fit_rows), cold(score_rows), rounds))
+        return run_stacker("v6_known", known(fit_rows), known(score_rows), rounds).unionByName(run_stacker("v6_cold", cold(fit_rows), cold(score_rows), rounds))
     model = Booster(STACK_FEATURES[version], rounds=rounds, maxDepth=4).fit(fit_rows)
     return model.score(score_rows, keep)

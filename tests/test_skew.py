@@ -26,9 +26,10 @@ def as_set(df):
 def test_long_groups_are_divided(spark, tiny_tasks):
     df = reviews(spark)
     divided = skew.divide_long_groups(df, ["user"], ["timestamp", "review_id"])
-    assert divided is not None and divided.count() == df.count()
-    assert divided.groupBy("user", "_chunk").count().agg(F.max("count")).first()[0] < 200
-    hot = divided.filter("user = 'hot'").select("_chunk", "timestamp", "review_id").collect()
+    rest, stored = divided
+    assert rest.count() + stored.count() == df.count() and rest.filter("user = 'hot'").isEmpty()
+    assert stored.groupBy("user", "_chunk").count().agg(F.max("count")).first()[0] < 200
+    hot = stored.filter("user = 'hot'").select("_chunk", "timestamp", "review_id").collect()
     ordered = sorted(hot, key=lambda r: (r["timestamp"], r["review_id"]))
     assert [r["_chunk"] for r in ordered] == sorted(r["_chunk"] for r in hot)
 
