@@ -85,48 +85,44 @@ def sparse_health(long: DataFrame, key: str, n_dims: int) -> DataFrame:
 
 
 MAX_QUERY_ROWS = 20_000
+MAX_ITEM_ROWS = 20_000
 CENTROID_BLOCK = 1_000
 
 
+def _nearest_in_block(k: int):
+    """The best ``k`` + 1 items of one block for each query of another; ties go to the smaller id."""
+
+    def best(key, queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(items):
+            return pd.DataFrame({"anchor": [], "neighbour": [], "cosine": []}).astype({"anchor": str, "neighbour": str, "cosine": float})
+        items = items.sort_values("id", kind="stable")
+        ids, vectors_ = items["id"].to_numpy(dtype=object), np.stack(items["u"].to_numpy())
+        take, parts = min(k + 1, len(ids)), []
+        for at in range(0, len(queries), 1_000):  # bounds the matrix of cosines
+            some = queries.iloc[at : at + 1_000]
+            cos = np.stack(some["u"].to_numpy()) @ vectors_.T
+            top = np.argsort(-np.round(cos, 12), axis=1, kind="stable")[:, :take]
+            parts.append(pd.DataFrame({"anchor": np.repeat(some["id"].to_numpy(dtype=object), take), "neighbour": ids[top].ravel(), "cosine": np.take_along_axis(cos, top, axis=1).ravel()}))
+        return pd.concat(parts)
+
+    return best
+
+
 def nearest(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` most similar items (cosine) of each query row, itself left out: ``anchor, neighbour, cosine, rank``.
 
-    Queries are handled in blocks of bounded size. A block is shipped to every task, which multiplies it with
-    its own items in batches and keeps ``k`` per query; the partial lists are merged by a top-k window. No
-    pair is written out unless it is among the best of its batch.
+    Blocks of bounded numbers of queries and of items meet in tasks, each pair of blocks once; a task multiplies them and keeps
+    ``k`` per query, and the partial lists are merged by a top-k window. No vector passes through the driver.
     """
-    spark = items.sparkSession
-    found = None
-    remaining = queries.select(key, vectors.unit(F.col("embedding")).alias("u"))
-    blocks = max(1, -(-remaining.count() // MAX_QUERY_ROWS))
-    unit_items = items.select(F.col(key).cast("string").alias("id"), vectors.unit(F.col("embedding")).alias("u"))
-    for b in range(blocks):
-        block = remaining.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else remaining
-        rows = block.collect()
-        if not rows:
-            continue
-        names = np.array([str(r[key]) for r in rows], dtype=object)
-        shipped = spark.sparkContext.broadcast((names, np.array([r["u"] for r in rows])))
-
-        def best(batches, shipped=shipped, k=k):
-            names, q = shipped.value
-            for pdf in batches:
-                ids = pdf["id"].to_numpy(dtype=object)
-                cos = q @ np.stack(pdf["u"].to_numpy()).T
-                order = np.argsort(ids, kind="stable")
-                ids, cos = ids[order], cos[:, order]
-                take = min(k + 1, len(ids))
-                # ties go to the smaller id, so sort stably by descending cosine
-                top = np.argsort(-np.round(cos, 12), axis=1, kind="stable")[:, :take]
-                yield pd.DataFrame(
-                    {"anchor": np.repeat(names, take), "neighbour": ids[top].ravel(), "cosine": np.take_along_axis(cos, top, axis=1).ravel()}
-                )
-
-        part = unit_items.mapInPandas(best, "anchor string, neighbour string, cosine double").filter(F.col("anchor") != F.col("neighbour"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "anchor string, neighbour string, cosine double, rank int")
-    return top_rows(found, ["anchor"], [F.round("cosine", 12).desc(), F.col("neighbour")], k)
+    unit = lambda df: df.select(F.col(key).cast("string").alias("id"), vectors.unit(F.col("embedding")).alias("u"))
+    asked, offered = durable(unit(queries)), durable(unit(items))
+    query_blocks, item_blocks = max(1, -(-asked.count() // MAX_QUERY_ROWS)), max(1, -(-offered.count() // MAX_ITEM_ROWS))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_q", block(query_blocks)).withColumn("_i", copies(item_blocks))
+    right = offered.withColumn("_i", block(item_blocks)).withColumn("_q", copies(query_blocks))
+    found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(_nearest_in_block(k), "anchor string, neighbour string, cosine double")
+    return top_rows(found.filter(F.col("anchor") != F.col("neighbour")), ["anchor"], [F.round("cosine", 12).desc(), F.col("neighbour")], k)
 
 
 def neighbour_coherence(neighbours: DataFrame, labels: DataFrame, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from starloom.functions import vectors
 from starloom.functions.dates import DAY_MICROS
 from starloom.operators.skew import before_each_row, has_long_keys, last_rows_before, quantiles, top_rows
+from starloom.session import durable
 
 ORDER = ["timestamp", "review_id"]
 MAX_LEVELS = 64  # up to so many distinct ratings, medians come from counts per level
@@ -166,7 +167,14 @@ def context_statistics(target: DataFrame, context: DataFrame, overall: float) ->
     ctx = _prepared(context, overall, levels)
     sums = {**_SUMS, **{f"_c{i}": ("sum", f"_level{i}") for i in range(len(levels))}}
     agg = {"sum": F.sum, "min": F.min, "max": F.max}
-    per_user = ctx.groupBy(F.col("user").alias("_u")).agg(*[agg[k](c).alias(out) for out, (k, c) in sums.items()])
+    # one pass over the context; all tables below come from its result
+    small = durable(ctx.groupBy("user", *[f"_{name}" for name in FACETS]).agg(*[agg[k](c).alias(out) for out, (k, c) in sums.items()]))
+    per_user = small.groupBy(F.col("user").alias("_u")).agg(*[agg[k](out).alias(out) for out, (k, _) in sums.items()])
+    for name in FACETS:  # a user's values of a facet are few against the user's rows
+        facet = small.groupBy("user", f"_{name}").agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
+        entry = F.struct(F.col(f"_{name}"), F.struct("n", "s"))
+        maps = facet.groupBy(F.col("user").alias("_fu")).agg(F.map_from_entries(F.collect_list(entry)).alias(f"_map_{name}"))
+        per_user = per_user.join(maps, per_user["_u"].eqNullSafe(maps["_fu"])).drop("_fu")
     rows = _prepared(target.withColumn("rating", F.lit(None).cast("double")), overall, []).drop("_one", "_square", "_positive", "_negative")
     if known is None:
         medians = quantiles(context, ["user"], "rating", {"_median": 0.5}).select(F.col("user").alias("_mu"), "_median")
@@ -179,12 +187,8 @@ def context_statistics(target: DataFrame, context: DataFrame, overall: float) ->
         )
     )
     for name in FACETS:
-        facet = ctx.groupBy(F.col("user").alias("_u"), F.col(f"_{name}").alias("_v")).agg(
-            F.sum("_one").alias("_fn"), F.sum("rating").alias("_fs")
-        )
-        work = work.join(facet, (work["user"] == facet["_u"]) & (work[f"_{name}"] == facet["_v"]), "left").drop("_u", "_v")
-        total = F.col("tabular_history_count")
-        work = work.withColumns(_facet_columns(name, F.col("_fn"), F.col("_fs"), total, overall)).drop("_fn", "_fs")
+        of_value = F.try_element_at(F.col(f"_map_{name}"), F.col(f"_{name}"))
+        work = work.withColumns(_facet_columns(name, of_value["n"], of_value["s"], F.col("tabular_history_count"), overall)).drop(f"_map_{name}")
     work = work.withColumn("tabular_history_feature_completeness", _completeness())
     return work.select(*[c for c in target.columns if c != "rating"], *[c for c in work.columns if c.startswith("tabular_history_")])
 

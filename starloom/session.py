@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which all executors see; in a local session below its own checkpoint folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if spark.sparkContext.getCheckpointDir() is None:
+            durable(spark.range(1))  # makes the local session choose its folder
+        top = spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def one_row(df: DataFrame) -> dict:
     """The single row of a global aggregate, as plain values for literals in later plans."""
     rows = df.take(2)
