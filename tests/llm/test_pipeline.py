@@ -38,7 +38,7 @@ def tables(spark, tmp_path_factory):
             for _ in range(3):
                 add(edited(rng, words, rng.randrange(0, 3)))
         if i % 10 == 0:
-            add(" ".join(words) + " token=abcdef123 and AKIA" + "Q7" * 8 + " wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
+            add(" ".join(word() for _ in range(40)) + " token=abcdef123 and AKIA" + "Q7" * 8 + " wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
     for text in HARD_TEXTS:
         add(text)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
