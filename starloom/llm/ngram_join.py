@@ -2,9 +2,10 @@
 
 A document is the set of its shingle hashes; equal sets form one class, and only classes are compared. The work is
 dealt by signatures that lose no pair: sizes are cut into overlapping ranges, and in a range whose largest size is r the
-shingles fall into k + 2 parts by hash, where k bounds the symmetric difference of a linked pair of that range. Such
-a pair agrees on at least two whole parts, so it meets under the signature of one of them. Under each signature that several
-classes share, a T-occurrence search over inverted lists finds the links (``TileIndex.search``).
+shingles fall into k + T parts by hash, where k bounds the symmetric difference of a linked pair of that range. Such
+a pair agrees on T whole parts at least. So a class that shares fewer than T of its signatures with other classes has no partner and is
+out; the others meet under the signatures they share. There a T-occurrence search over inverted lists of
+shingles finds the links (``TileIndex.search``).
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.components import connected_components
-from starloom.llm.tables import packed_rows
+from starloom.llm.tables import drop_finished_shuffles, packed_rows
 from starloom.llm.words import WordHashes, mix, windows
 from starloom.session import durable
 
 RANGE_RATIO = 1.35  # of the largest to the smallest size of a range
 TILE_CLASSES = 512  # classes in one half of a tile
 TILE_SHINGLES = 1_000_000  # shingles in one half of a tile, 8 MB
+BROADCAST_ROWS = 500_000  # of 36 bytes each
+AGREE = 5  # a linked pair agrees on one part more for each so many parts that may differ
 MU = 0.02  # weight of a probe against a merged posting in the choice of the long lists
 
 
@@ -52,60 +55,62 @@ class Signatures:
             self.ranges.append((low, max(low, int(low * RANGE_RATIO))))
         return [i for i, (low, high) in enumerate(self.ranges) if high >= n and low * self.threshold <= n]
 
-    def of(self, shingles: np.ndarray) -> np.ndarray:
-        found = []
+    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The signatures, with their range in the lowest 8 bits, and for each range (``need_code``) how many of them a linked set shares at least.
+
+        Empty parts are left out where fewer than ``agree`` parts are empty, and counted as shared; then some of those a pair
+        agrees on has shingles. Otherwise all parts count, and one of them must be shared.
+        """
+        found, needs = [], []
         spread = mix(shingles ^ np.uint64(0x9E3779B97F4A7C15))
         for i in self.ranges_of(len(shingles)) if len(shingles) else []:
             differ = int(2 * self.ranges[i][1] * (1 - self.threshold) / (1 + self.threshold))
-            parts = differ + 2
+            agree = max(2, -(-differ // AGREE))
+            parts = differ + agree
             part = (shingles >> np.uint64(9)) % np.uint64(parts)
             sums = np.zeros(parts, np.uint64)
             np.add.at(sums, part, spread)
             names = mix(sums + mix(np.arange(parts, dtype=np.uint64) + np.uint64((i + 1) << 32)))
+            names = (names & ~np.uint64(255)) | np.uint64(i)
             empty = np.bincount(part.astype(np.int64), minlength=parts) == 0
-            # a pair agrees on two parts at least; with fewer than two empty ones, one of those has shingles
-            found.append(names if empty.sum() >= 2 else names[~empty])
-        return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            skipped = int(empty.sum())
+            found.append(names if skipped >= agree else names[~empty])
+            needs.append(need_code(i, agree - skipped if skipped < agree else 1))
+        return (np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)), needs
 
 
-def document_features(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """doc_id, text_hash, n (shingles), k and k2 (two independent hashes of the set) and the signatures of each row."""
+NO_SIGNATURES = (np.zeros(0, np.int64), [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, signatures = WordHashes(), Signatures(threshold)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_set(t, width, cache) for t in part.column("text").to_pylist()]
-                keys = [pa.array([class_key(s, seed) for s in sets], pa.int64()) for seed in (1, 2)]
-                of_each = [signatures.of(s) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in of_each])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(of_each)))
-                columns = [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *keys, lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "k", "k2", "signatures"])
 
-    source = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, n long, k long, k2 long, signatures array<long>")
+def need_code(size_range: int, need: int) -> int:
+    return size_range << 32 | need
 
 
-def class_shingles(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """k, n and shingles (binary, 8 bytes each) of the ``wanted`` classes (k, first: the doc_id of a member), read from the texts again."""
+def document_features(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """doc_id, text_hash, n (shingles), k and k2 (two independent hashes of the set), signatures and needs of each row.
+
+    Of the copies of a set in one task, the first alone has signatures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, signatures, seen = WordHashes(), Signatures(threshold), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t, width, cache) for t in part.column("text").to_pylist()]
-                own = [class_key(s, 1) == k for s, k in zip(sets, part.column("k").to_pylist())]  # a doc_id may stand for several texts
-                mine = [s for s, o in zip(sets, own) if o]
-                columns = [part.column("k").filter(pa.array(own, pa.bool_())), pa.array([len(s) for s in mine], pa.int64()), pa.array([s.tobytes() for s in mine], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "n", "shingles"])
+                keys = [pa.array([class_key(s, seed) for s in sets], pa.int64()) for seed in (1, 2)]
+                of_each = []
+                for s, k in zip(sets, keys[0].to_pylist()):
+                    of_each.append(NO_SIGNATURES if k in seen else signatures.of(s))
+                    seen.add(k)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in of_each])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for x, _ in of_each])))
+                needs = pa.array([n for _, n in of_each], pa.list_(pa.int64()))
+                columns = [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *keys, lists, needs]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "k", "k2", "signatures", "needs"])
 
-    texts = documents.select(F.col("doc_id").alias("first"), F.col("text").cast("string").alias("text"))
-    asked = wanted.select("k", F.col("first").alias("asked"))
-    found = texts.join(asked, F.col("first").eqNullSafe(F.col("asked"))).select("k", "text")
-    return found.mapInArrow(run, "k long, n long, shingles binary").dropDuplicates(["k"])
+    source = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, n long, k long, k2 long, signatures array<long>, needs array<long>")
 
 
 class TileIndex:
@@ -198,12 +203,42 @@ def link_tile(keys: list[int], groups: list[int], roles: list[int], sets: list[n
     return links
 
 
-def search_tiles(rows: DataFrame, shingles: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links (u, v) found in tiles; ``rows``: tile, k, role, comp."""
+def tile_shingles(documents: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (tile, k, role, comp, first: the doc_id of a member of the class) with the shingles of the class, read from the texts again.
+
+    While the rows are few they are broadcast, and the texts stay where they are; beyond that both are shuffled by id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        own, data, last = False, b"", None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                keep, found = [], []
+                for k, text in zip(part.column("k").to_pylist(), part.column("text").to_pylist()):
+                    if (k, text) != last:  # the tiles of a class follow each other
+                        last, shingles = (k, text), shingle_set(text, width, cache)
+                        own, data = class_key(shingles, 1) == k, shingles.tobytes()
+                    keep.append(own)  # a doc_id may stand for several texts
+                    if own:
+                        found.append(data)
+                kept = part.select(["tile", "k", "role", "comp"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], ["tile", "k", "role", "comp", "shingles"])
+
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    found = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("first"))).select("tile", "k", "role", "comp", "text")
+    return found.mapInArrow(run, "tile long, k long, role int, comp long, shingles binary")
+
+
+def search_tiles(documents: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """Links (u, v) found in tiles; ``rows``: tile, k, role, comp, first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list, list] = ([], [], [], [])
-        current = None
+        current, last = None, None
 
         def finish() -> pa.RecordBatch:
             links = link_tile(*held, threshold) if held[0] else []
@@ -217,14 +252,17 @@ def search_tiles(rows: DataFrame, shingles: DataFrame, threshold: Fraction) -> D
                 if tile != current:
                     yield finish()
                     current = tile
+                elif (role, k) == last:  # a row of the table that repeats another
+                    continue
+                last = (role, k)
                 held[0].append(k)
                 held[1].append(comp)
                 held[2].append(role)
                 held[3].append(np.frombuffer(data, np.uint64))
         yield finish()
 
-    joined = rows.join(shingles.select("k", "shingles"), "k")
-    return joined.repartition("tile").sortWithinPartitions("tile", "role", "k").mapInArrow(run, "u long, v long")
+    placed = tile_shingles(documents, durable(rows), width)
+    return placed.repartition("tile").sortWithinPartitions("tile", "role", "k").mapInArrow(run, "u long, v long")
 
 
 def half_size(n):
@@ -274,12 +312,28 @@ def remaining_tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def shared_signatures(features: DataFrame) -> DataFrame:
-    """Rows (signature, k) of the signatures that two or more classes have."""
+    """Rows (signature, k) of the signatures that two or more classes, or copies of one class in several tasks, have."""
     rows = features.select("k", F.explode("signatures").alias("signature"))
-    shared = rows.groupBy("signature").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("signature")
+    shared = rows.groupBy("signature").agg(F.count("*").alias("c")).where("c > 1").select("signature")
     return rows.join(shared, "signature").select("signature", "k").distinct()
 
 
+def of_several_classes(members: DataFrame) -> DataFrame:
+    """The rows (signature, k) of signatures of two or more classes."""
+    several = members.groupBy("signature").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("signature")
+    return members.join(several, "signature")
+
+
+def often_enough(members: DataFrame, features: DataFrame) -> DataFrame:
+    """``members`` (signature, k) without the classes that share fewer signatures of a range than a linked pair does, and without signatures of one class."""
+    members = of_several_classes(members)
+    in_range = F.col("signature").bitwiseAND(F.lit(255)).alias("r")
+    needs = features.select("k", F.explode("needs").alias("code")).distinct().select("k", F.shiftright("code", 32).alias("r"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("need"))
+    enough = members.groupBy("k", in_range).agg(F.count("*").alias("c")).join(needs, ["k", "r"]).where("c >= need").select("k", "r")
+    left = members.withColumn("r", in_range).join(enough, ["k", "r"], "left_semi").select("signature", "k")
+    return of_several_classes(left)
+
+
 def cheaper_buckets(members: DataFrame) -> DataFrame:
     """Buckets (signature, k, n) that bring together all pairs which ``members`` (signature, k, n) does, in fewer rows of tiles.
 
@@ -315,18 +369,20 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, threshold: Fr
     classes = durable(features.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("k2").alias("a"), F.max("k2").alias("b")))
     if not classes.where("a <> b").isEmpty():
         raise ValueError("two different shingle sets have the same 64-bit key")
-    members = durable(shared_signatures(features).join(classes.select("k", "n"), "k"))
-    wanted = members.select("k").distinct().join(classes.select("k", "first"), "k")
-    shingles = durable(class_shingles(documents, wanted, width))
+    shared = durable(shared_signatures(features))
+    drop_finished_shuffles(documents.sparkSession)
+    members = durable(often_enough(shared, features).join(classes.select("k", "n"), "k"))
     buckets = durable(cheaper_buckets(members))
     sizes = buckets.groupBy("signature").agg((F.count("*") <= half_size(F.max("n"))).alias("fits"))
     sized = durable(buckets.join(sizes, "signature"))
     within = sized.where("fits").select(F.col("signature").alias("tile"), "k", F.lit(2).alias("role"), F.col("k").alias("comp"))
     large = sized.where("not fits").drop("fits")
-    links = search_tiles(within.unionByName(star_tiles(large)), shingles, threshold)
+    ids = classes.select("k", "first")
+    links = search_tiles(documents, within.unionByName(star_tiles(large)).join(ids, "k"), width, threshold)
     labels = connected_components(links)
     if not large.isEmpty():
-        labels = connected_components(labels.unionByName(search_tiles(remaining_tiles(large, labels), shingles, threshold)))
+        more = search_tiles(documents, remaining_tiles(large, labels).join(ids, "k"), width, threshold)
+        labels = connected_components(labels.unionByName(more))
     named = classes.join(labels.select(F.col("u").alias("k"), F.col("v").alias("comp")), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_class = named.join(smallest, "comp").select("k", "comp", "component_id")
@@ -345,7 +401,9 @@ def drop_near_duplicates(documents: DataFrame, width: int = 5, threshold: Fracti
     first = found.groupBy("component_key").agg(F.min(place).alias("stays"))
     stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
     judged = found.join(first, "component_key").withColumn("keep", stays)
-    gone = judged.where("not keep").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = durable(judged.where("not keep").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
+    if gone.count() <= BROADCAST_ROWS:  # then the texts stay where they are
+        gone = F.broadcast(gone)
     hashed = packed_rows(documents).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"))
     left = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
     repeated = durable(judged.where("keep").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")))

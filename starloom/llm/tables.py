@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,18 @@ def packed_rows(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner does so when the driver collects garbage, which a driver with little to do may put off until the disks
+    of the executors are full. Call it after a large intermediate result has been checkpointed.
+    """
+    for _ in range(2):  # what Python has let go is free for the second collection
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)``; ``sql`` is its DuckDB counterpart."""
 
