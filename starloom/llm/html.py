@@ -49,6 +49,7 @@ class Node:
     inline: int
     hashed: xxhash.xxh3_64 | None
     text: bool = False
+    holds: bool = False  # an article or main element is in it
 
 
 @dataclass
@@ -79,8 +80,8 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
 def parse_page(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> Page:
     """Read a page once, with repairs for what is not closed.
 
-    Subtrees of elements outside any article or main element are hashed by their tags and their text (not their addresses). A subtree whose hash
-    is in ``templates`` is deleted. Text in an article's ``header`` counts only in headings.
+    Subtrees of elements outside any article or main element, and with none in them, are hashed by their tags and their text (not their
+    addresses). A subtree whose hash is in ``templates`` is deleted. Text in an article's ``header`` counts only in headings.
     """
     page = Page()
     stack = [Node("", False, 0, 0, 0, 0, xxhash.xxh3_64())]
@@ -99,7 +100,8 @@ def parse_page(source: str | None, templates: frozenset[int] | set[int] = frozen
         if node.tag in BLOCK:
             flush()
         stack.pop()
-        if node.hashed is None:
+        if node.hashed is None or node.holds:
+            stack[-1].holds = True  # what surrounds an article is no template, however alike the rest of it is
             return
         if stack[-1].hashed is not None:
             stack[-1].hashed.update(node.hashed.digest())

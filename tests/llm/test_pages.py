@@ -1,6 +1,7 @@
 """WARC archives and main text of pages."""
 
 import hashlib
+import random
 from collections import Counter
 
 from starloom.llm import html, warc
@@ -82,3 +83,54 @@ def test_templates_by_shuffle(make, monkeypatch):
     monkeypatch.setattr(html, "BROADCAST_TEMPLATES", -1)
     assert {r.text for r in html.extract_main_text(make(rows, PAGES)).collect()} == {f"own {i}" for i in range(9)}
     assert html.extract_main_text(make([], PAGES)).count() == 0
+
+
+def grown(rng, i, depth=0):
+    """A random tree (tag, children) whose leaves are words: few of them, so that subtrees recur, and some of the page's own."""
+    tag = rng.choice(["div", "section", "ul", "div", "article", "main"] if depth < 3 else ["p"])
+    if tag == "p":
+        return tag, [rng.choice(["w1", "w2", "w3", f"own {i} {rng.random()}"])]
+    return tag, [grown(rng, i, depth + 1) for _ in range(rng.randrange(1, 4))]
+
+
+def source_of(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(source_of, tree[1]))}</{tree[0]}>"
+
+
+def brute_subtrees(tree):
+    """All subtrees that are not in, and do not hold, an article or main element."""
+    if isinstance(tree, str) or tree[0] in ("article", "main"):
+        return set()
+    below = set().union(*map(brute_subtrees, tree[1]))
+    return below if "<article>" in source_of(tree) or "<main>" in source_of(tree) else below | {source_of(tree)}
+
+
+def brute_text(tree, templates):
+    blocks = []
+
+    def walk(node, article, main):
+        if isinstance(node, str):
+            blocks.append((node, article, main))
+        elif article or main or source_of(node) not in templates:
+            for child in node[1]:
+                walk(child, article or node[0] == "article", main or node[0] == "main")
+
+    walk(tree, False, False)
+    return "\n".join(b[0] for b in ([b for b in blocks if b[1]] or [b for b in blocks if b[2]] or blocks))
+
+
+def test_what_surrounds_an_article_is_no_template(make):
+    page = "<html><body><nav>menu</nav><div>constant</div><div><article><p>own %d</p></article></div><footer>foot</footer></body></html>"
+    rows = [(i, "http://h.org/", page % i) for i in range(20)] + [(20 + i, "http://m.org/", page.replace("article", "main") % i) for i in range(20)]
+    assert {r.page_id: r.text for r in html.extract_main_text(make(rows, PAGES)).collect()} == {i: f"own {i % 20}" for i in range(40)}
+
+
+def test_templates_by_brute_force(make):
+    rng = random.Random(3)
+    trees = [("html", [("body", [("div", ["top"]), *[grown(rng, i) for _ in range(3)], ("div", ["end"])])]) for i in range(120)]
+    seen = Counter(s for t in trees for s in brute_subtrees(t))
+    templates = {s for s, n in seen.items() if n >= 9}
+    assert len(templates) > 5
+    rows = [(i, "http://h.org/", source_of(t)) for i, t in enumerate(trees)]
+    got = {r.page_id: r.text for r in html.extract_main_text(make(rows, PAGES), least_pages=9).collect()}
+    assert got == {i: brute_text(t, templates) for i, t in enumerate(trees)}
