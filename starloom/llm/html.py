@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.urls import url_host
-from starloom.session import durable, one_row
+from starloom.session import durable
 
+LEAST_PAGES = 8  # of a host, for a template; a passage that fewer pages share is text
 BROADCAST_TEMPLATES = 500_000  # hashes of 8 bytes: 4 MB at most; more are joined by shuffling
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|(\bhidden\b)""")
@@ -106,7 +107,7 @@ def parse_page(source: str | None, templates: frozenset[int] | set[int] = frozen
         if stack[-1].hashed is not None:
             stack[-1].hashed.update(node.hashed.digest())
             stack[-1].text |= node.text
-        if node.text and node.tag in BLOCK:
+        if node.text and not node.skip and node.tag in BLOCK:
             value = node.hashed.intdigest() - (1 << 63)
             page.subtrees.add(value)
             if value in templates:
@@ -199,36 +200,33 @@ def main_text(page: Page) -> str:
 
 
 def subtree_pages(pages: DataFrame) -> DataFrame:
-    """host, page (hash of the whole source), subtree: one row per page and different subtree, and one with subtree null per page."""
+    """host, page (hash of the whole source), subtree: one row per page and different subtree.
+
+    ``pages`` has host, page and html. Subtrees whose text never counts (navigation, scripts, what is hidden) have no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, keys, subtrees = [], [], []
             for host, key, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
-                found = [None, *parse_page(source).subtrees]
+                found = parse_page(source).subtrees
                 hosts += [host] * len(found)
                 keys += [key] * len(found)
                 subtrees += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(subtrees, pa.int64())], ["host", "page", "subtree"])
 
-    source = pages.select(url_host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
-    return source.mapInArrow(run, "host string, page long, subtree long").distinct()
+    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, subtree long").distinct()
 
 
-def site_templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.005) -> DataFrame:
-    """host and templates (array of subtree hashes): the subtrees on ``least_pages`` or more different pages of the host that are ``least_share`` of them or more.
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host and subtree (hash): one row per subtree on ``least_pages`` or more different pages of the host, however many pages the host has.
 
-    Pages of equal source count once, so that copies of a page are no template. By the share, a host has at most
-    (mean subtrees a page) / ``least_share`` templates, which bounds the array.
+    ``pages`` has host, page and html. Pages of equal source count once, so that copies of a page are no template.
     """
-    counts = durable(subtree_pages(pages).groupBy("host", "subtree").agg(F.count("*").alias("c")))
-    totals = counts.where("subtree is null").select("host", F.col("c").alias("total"))
-    frequent = counts.where(F.col("subtree").isNotNull() & (F.col("c") >= least_pages))
-    recurring = frequent.join(totals, "host").where(F.col("c") >= F.lit(least_share) * F.col("total"))
-    return recurring.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    return subtree_pages(pages).groupBy("host", "subtree").agg(F.count("*").alias("c")).where(F.col("c") >= least_pages).select("host", "subtree")
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = 3, least_share: float = 0.005) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     First, element subtrees that recur on a host (``site_templates``) are deleted, outside article and main elements.
@@ -237,12 +235,16 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3, least_share: float
     space, blocks joined by a line break. Empty text if there is none. A null html is empty, a null or malformed url has the empty host; repeated
     rows give equal rows. Other columns are ignored.
 
-    The pages are read twice and never shuffled while the templates are few enough to be broadcast.
+    The pages are read twice and never shuffled while the templates are few enough to be broadcast, as an array per host. Beyond that, the templates
+    stay rows and are joined to the subtrees of each page (a third reading), so that a page gets only its own; the pages are then shuffled once.
     """
-    templates = durable(site_templates(pages, least_pages, least_share))
-    size = one_row(templates.agg(F.coalesce(F.sum(F.size("templates") + 4), F.lit(0)).alias("n")))["n"]
-    known = F.broadcast(templates) if size <= BROADCAST_TEMPLATES else templates
-    source = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).join(known, "host", "left")
+    keyed = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
+    templates = durable(site_templates(keyed, least_pages))
+    if templates.count() <= BROADCAST_TEMPLATES:
+        source = keyed.join(F.broadcast(templates.groupBy("host").agg(F.collect_list("subtree").alias("templates"))), "host", "left")
+    else:
+        own = subtree_pages(keyed).join(templates, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("templates"))
+        source = keyed.join(own, ["host", "page"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -134,3 +134,25 @@ def test_templates_by_brute_force(make):
     rows = [(i, "http://h.org/", source_of(t)) for i, t in enumerate(trees)]
     got = {r.page_id: r.text for r in html.extract_main_text(make(rows, PAGES), least_pages=9).collect()}
     assert got == {i: brute_text(t, templates) for i, t in enumerate(trees)}
+
+
+def crowd(n, shared):
+    """Pages of one host, of which the first ``shared`` have a notice."""
+    return [(i, "http://h.org/", f"<div>{'<div>notice here</div>' if i < shared else ''}<p>own {i}</p></div>") for i in range(n)]
+
+
+def test_templates_do_not_depend_on_the_size_of_the_host(make, monkeypatch):
+    for bound in (500_000, -1):
+        monkeypatch.setattr(html, "BROADCAST_TEMPLATES", bound)
+        for n in (20, 4000):  # 9 pages are less than half a per cent of 4,000
+            assert {r.page_id: r.text for r in html.extract_main_text(make(crowd(n, 9), PAGES)).collect()} == {i: f"own {i}" for i in range(n)}
+        few = {r.page_id: r.text for r in html.extract_main_text(make(crowd(20, 3), PAGES)).collect()}
+        assert few == {i: "notice here\n" * (i < 3) + f"own {i}" for i in range(20)}
+
+
+def test_rows_of_templates_reach_each_page(make, monkeypatch):
+    rows = [(h * 100 + i, f"http://h{h}.org/", f"<div>same {h}</div><div>all</div><p>own {i % 10}</p>") for h in range(3) for i in range(20)]
+    rows += [(900, "http://other.org/", "<div>all</div><p>x</p>"), (901, None, None), (902, "http://h0.org/", None)]
+    monkeypatch.setattr(html, "BROADCAST_TEMPLATES", -1)
+    got = sorted((r.page_id, r.text) for r in html.extract_main_text(make(rows, PAGES)).collect())
+    assert got == sorted([(h * 100 + i, f"own {i % 10}") for h in range(3) for i in range(20)] + [(900, "all\nx"), (901, ""), (902, "")])
