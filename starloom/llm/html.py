@@ -35,6 +35,9 @@ OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay newsletter "
     "subscribe sidebar navbar nav navigation menu breadcrumb breadcrumbs pagination footer comment comments commentlist respond disqus reply replies".split()
 )
+# Compound names of layouts: no-sidebar, page-with-banner, content-sidebar-wrap.
+LAYOUT_BEFORE = frozenset("no not has have with without".split())
+LAYOUT_LAST = frozenset("wrap wrapper layout".split())
 WORD = re.compile(r"[^a-z0-9]+")
 
 
@@ -44,6 +47,7 @@ class Node:
 
     tag: str
     skip: bool
+    named: tuple[int, ...]  # numbers of the elements around it, itself included, that a word of a class or id names surroundings
     article: int  # articles around the element, itself included
     main: int
     blocks: int
@@ -59,33 +63,71 @@ class Page:
 
     subtrees: set[int] = field(default_factory=set)
     blocks: list[tuple[str, bool, bool]] = field(default_factory=list)
+    around_main: set[int] = field(default_factory=set)  # elements named surroundings that hold a main element
+    articles: list[list] = field(default_factory=list)  # outermost articles that do not count: elements named surroundings around it, characters
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
+def _names_surroundings(value: str) -> bool:
+    """Whether a name of a class or id has a word of ``OUTSIDE_WORDS``, other than in the compound name of a layout."""
+    if OUTSIDE_WORDS.isdisjoint(WORD.split(value)):
+        return False
+    for name in value.split():
+        words = [w for w in WORD.split(name) if w]
+        if not words or words[-1] in LAYOUT_LAST:
+            continue
+        for word in words:
+            if word in LAYOUT_BEFORE:
+                break
+            if word in OUTSIDE_WORDS:
+                return True
+    return False
+
+
+def _outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no text of the page by its kind, role or being hidden; and whether a word of a class or id says so."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
+        return True, False
+    named = False
     if not attributes.strip():
-        return False
+        return False, False
     for m in ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5]).lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            return True, False
         if name == "role" and value.strip() in OUTSIDE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and not OUTSIDE_WORDS.isdisjoint(WORD.split(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main", "header") and _names_surroundings(value):
+            named = True
+    return False, named
 
 
 def parse_page(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> Page:
-    """Read a page once, with repairs for what is not closed.
+    """Read a page, and once more if a word of a class or id would take its main element or its chief article.
+
+    Elements that a word names surroundings count nevertheless if they hold a main element or the chief article: where no article
+    outside them has text, the longest of theirs, if it is longer than all the text that counts without it.
+    """
+    page = read_page(source, templates)
+    lifted = page.around_main
+    if lifted:
+        page = read_page(source, templates, lifted)
+    if page.articles and not any(b[1] for b in page.blocks):
+        named, chars = max(page.articles, key=lambda a: a[1])
+        if chars > sum(len(b[0]) for b in page.blocks):
+            page = read_page(source, templates, lifted | set(named))
+    return page
+
+
+def read_page(source: str | None, templates: frozenset[int] | set[int] = frozenset(), lifted: frozenset[int] | set[int] = frozenset()) -> Page:
+    """Read a page once, with repairs for what is not closed. The elements whose numbers are ``lifted`` count whatever their class or id says.
 
     Subtrees of elements outside any article or main element, and with none in them, are hashed by their tags and their text (not their
     addresses). A subtree whose hash is in ``templates`` is deleted. Text in an article's ``header`` counts only in headings.
     """
     page = Page()
-    stack = [Node("", False, 0, 0, 0, 0, xxhash.xxh3_64())]
+    stack = [Node("", False, (), 0, 0, 0, 0, xxhash.xxh3_64())]
+    number = 0
     inline: list[str] = []
     source = source or ""
 
@@ -121,10 +163,15 @@ def parse_page(source: str | None, templates: frozenset[int] | set[int] = frozen
             node.hashed.update(bare.encode("utf-8", "surrogatepass"))
             node.hashed.update(b"\x00")
             node.text = True
-        if not node.skip:
+        if node.skip:
+            return
+        if not node.named:
             inline.append(raw)
+        elif node.article and page.articles and page.articles[-1][0] == node.named:
+            page.articles[-1][1] += len(" ".join(raw.split()))
 
     def open_tag(tag: str, attributes: str) -> None:
+        nonlocal number
         if tag in BLOCK:
             for at in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[at].tag == "p" or (tag == "body" and stack[at].tag == "head"):
@@ -144,13 +191,22 @@ def parse_page(source: str | None, templates: frozenset[int] | set[int] = frozen
                     break
         if tag in BLOCK:
             flush()
-        elif tag == "br" and not stack[-1].skip:
+        elif tag == "br" and not stack[-1].skip and not stack[-1].named:
             inline.append(" ")
         above = stack[-1]
         if tag in VOID:
             return
         article, main = above.article + (tag == "article"), above.main + (tag == "main")
-        skip = above.skip or _outside(tag, attributes, above.article > 0)
+        number += 1
+        outside, word = _outside(tag, attributes, above.article > 0)
+        skip, named = above.skip or outside, above.named
+        if word and number not in lifted:
+            named += (number,)
+        if named and not skip:
+            if tag == "main":
+                page.around_main.update(named)
+            elif tag == "article" and not above.article:
+                page.articles.append([named, 0])
         if tag == "header" and not above.skip and above.article:
             skip = True
         if tag in HEADINGS and above.tag in ("header", "hgroup") and above.article and not any(n.skip and n.tag != "header" for n in stack):
@@ -158,7 +214,7 @@ def parse_page(source: str | None, templates: frozenset[int] | set[int] = frozen
         hashed = None
         if above.hashed is not None and not article and not main:
             hashed = xxhash.xxh3_64(tag.encode("utf-8", "surrogatepass"))
-        stack.append(Node(tag, skip, article, main, len(page.blocks), len(inline), hashed))
+        stack.append(Node(tag, skip, named, article, main, len(page.blocks), len(inline), hashed))
 
     at, end = 0, len(source)
     while at < end:
@@ -209,7 +265,7 @@ def subtree_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, keys, subtrees = [], [], []
             for host, key, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
-                found = parse_page(source).subtrees
+                found = read_page(source).subtrees
                 hosts += [host] * len(found)
                 keys += [key] * len(found)
                 subtrees += found
@@ -230,7 +286,8 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataF
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     First, element subtrees that recur on a host (``site_templates``) are deleted, outside article and main elements.
-    From what is left, elements that name themselves surroundings are dropped, and the text of the article (or the
+    From what is left, elements that name themselves surroundings are dropped (by a word of a class or id only if the main element
+    or the chief article is not in them, see ``parse_page``), and the text of the article (or the
     main element, or the whole page) is read: character references decoded, white space inside a block made one
     space, blocks joined by a line break. Empty text if there is none. A null html is empty, a null or malformed url has the empty host; repeated
     rows give equal rows. Other columns are ignored.

@@ -156,3 +156,21 @@ def test_rows_of_templates_reach_each_page(make, monkeypatch):
     monkeypatch.setattr(html, "BROADCAST_TEMPLATES", -1)
     got = sorted((r.page_id, r.text) for r in html.extract_main_text(make(rows, PAGES)).collect())
     assert got == sorted([(h * 100 + i, f"own {i % 10}") for h in range(3) for i in range(20)] + [(900, "all\nx"), (901, ""), (902, "")])
+
+
+def test_named_wrappers_keep_the_article():
+    for name in ("content-sidebar-wrap", "layout no-sidebar", "has-comments", "with-banner", "page-with-sidebar", "sidebar-left", "banner", "comments_wrapper"):
+        for key in ("class", "id"):
+            for inner in ("<article><h1>T</h1><p>x</p></article>", "<main><h1>T</h1><p>x</p></main>", "<section><article><h1>T</h1><p>x</p></article></section>"):
+                assert text(f"<body><nav>n</nav><div {key}='{name}'>{inner}<div class=sidebar>side</div></div><footer>f</footer></body>") == "T\nx"
+    assert text("<div class='has-comments'><p>no article</p></div>") == "no article"
+    assert text("<div class=banner><div class=popup><main>deep</main></div></div>") == "deep"
+
+
+def test_other_named_elements_are_dropped():
+    assert text("<div class=sidebar><article>a longer teaser</article></div><article>real</article>") == "real"
+    assert text("<div>a post in a plain element</div><div class=comments><article>first!</article><article>me too</article></div>") == "a post in a plain element"
+    assert text("<div class='banner'><div hidden><main>m</main></div>b</div>out") == "out"
+    assert text("<p>a<span class=ad>x</span>b</p><div class='comment-no-5'>c</div><div id='main-nav'>n</div>") == "ab"
+    assert text("<article>a<div class='comments wide'><article>reply</article></div>b</article>") == "a\nb"
+    assert text("<article><header class=banner><h1>T</h1>by</header>x</article>") == "T\nx"
