@@ -167,38 +167,38 @@ def scored(model, spark, sf):
 
 @query("md_biased_factors")
 def _(spark, sf):
-    return scored(factors.BiasedFactorModel(rank=8, iterations=5), spark, sf)
+    return scored(factors.BiasedFactorModel(rank=150, iterations=30), spark, sf)
 
 
 @query("md_factors_without_bias")
 def _(spark, sf):
-    return scored(factors.BiasedFactorModel(rank=8, iterations=5, use_bias=False), spark, sf)
+    return scored(factors.BiasedFactorModel(rank=150, iterations=30, use_bias=False), spark, sf)
 
 
 @query("md_factors_seed_ensemble")
 def _(spark, sf):
-    return scored(factors.BiasedFactorModel(rank=8, iterations=3, seeds=(7, 21, 42)), spark, sf)
+    return scored(factors.BiasedFactorModel(rank=150, iterations=30, seeds=(7, 21, 42)), spark, sf)
 
 
 @query("md_factor_explanation")
 def _(spark, sf):
-    model = factors.BiasedFactorModel(rank=8, iterations=3).fit(train(spark, sf))
+    model = factors.BiasedFactorModel(rank=20, iterations=20).fit(train(spark, sf))
     return plain(model.explain(test(spark, sf).select("review_id", "user", "item")))
 
 
 @query("md_nonnegative_factors")
 def _(spark, sf):
-    return scored(factors.NonNegativeModel(rank=8, iterations=5), spark, sf)
+    return scored(factors.NonNegativeModel(rank=15, iterations=50), spark, sf)
 
 
 @query("md_factor_regressor")
 def _(spark, sf):
-    return scored(factors.FactorRegressor(factors.BiasedFactorModel(rank=6, iterations=3), "forest"), spark, sf)
+    return scored(factors.FactorRegressor(factors.BiasedFactorModel(rank=20, iterations=20), "forest"), spark, sf)
 
 
 @query("md_factor_ridge")
 def _(spark, sf):
-    return scored(factors.FactorRegressor(factors.BiasedFactorModel(rank=6, iterations=3), "ridge"), spark, sf)
+    return scored(factors.FactorRegressor(factors.BiasedFactorModel(rank=20, iterations=20), "ridge"), spark, sf)
 
 
 @query("md_bias_svd")

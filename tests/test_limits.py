@@ -113,3 +113,24 @@ def test_chained_windows_read_the_input_once_each(spark, tiny_tasks):
         df = skew.before_each_row(df, ["user"], ["timestamp", "review_id"], {f"n{len(scans)}": ("sum", "one")})
         scans.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
     assert scans[2] - scans[1] <= scans[1] - scans[0] + 1
+
+
+def test_factor_queries_fit_whole_models(monkeypatch):
+    """Ranks and iterations of the registered factor models are those of the reference."""
+    from starloom.catalog import models, registry
+
+    made = {}
+
+    def seen(model, name):
+        made[name] = (model.rank, model.iterations)
+        raise StopIteration
+
+    names = ["md_biased_factors", "md_factors_without_bias", "md_factors_seed_ensemble", "md_factor_explanation", "md_nonnegative_factors", "md_factor_regressor", "md_factor_ridge"]
+    monkeypatch.setattr(models, "train", lambda spark, sf: None)
+    for name in names:
+        for kind in (models.factors.BiasedFactorModel, models.factors.NonNegativeModel):
+            monkeypatch.setattr(kind, "fit", lambda self, *_, name=name: seen(self, name))
+        monkeypatch.setattr(models.factors.FactorRegressor, "fit", lambda self, *_, name=name: seen(self.base, name))
+        with pytest.raises(StopIteration):
+            registry.QUERIES[name](None, None)
+    assert made == dict.fromkeys(names[:3], (150, 30)) | {"md_factor_explanation": (20, 20), "md_nonnegative_factors": (15, 50), "md_factor_regressor": (20, 20), "md_factor_ridge": (20, 20)}
