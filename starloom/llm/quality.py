@@ -107,11 +107,10 @@ class Rule:
         return out
 
 
-def _cuts(values: np.ndarray, most: int = 48) -> np.ndarray:
-    """Midpoints between neighbouring values, at quantiles where there are many."""
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """All midpoints between neighbouring values."""
     v = np.unique(values)
-    mid = (v[1:] + v[:-1]) / 2
-    return mid if len(mid) <= most else mid[np.linspace(0, len(mid) - 1, most).round().astype(int)]
+    return (v[1:] + v[:-1]) / 2
 
 
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most_conditions: int) -> tuple:

@@ -99,3 +99,11 @@ def test_empty_tables(documents, labelled, make):
     assert quality.fit_decision_list(labelled[0], none) == []
     assert quality.apply_quality_rules(documents([]), []).count() == 0
     assert quality.apply_quality_rules(documents(["ten words " * 5 + "one two three four five six seven"]), []).collect()[0].kept is False
+
+
+def test_every_midpoint_is_tested():
+    x = {"a": np.random.default_rng(5).permutation(np.repeat(np.arange(1500) / 1500, 8))}
+    bad = (x["a"] > 0.5042) & (x["a"] <= 0.5082)  # six values, between two of 48 even picks
+    rules = quality.learn_rules(x, bad, most_conditions=2)  # its two ends: none to spare for coarse picks
+    caught = np.logical_or.reduce([r.covers(x) for r in rules]) if rules else np.zeros(len(bad), bool)
+    assert bad.sum() == 48 and (caught == bad).all()
