@@ -6,8 +6,9 @@ from __future__ import annotations
 from fractions import Fraction
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from starloom.llm import bpe, html, ngram_join, packing, quality, secrets, sharding, topk, urls, warc
+from starloom.llm import bpe, collocations, decontamination, html, ngram_join, packing, quality, secrets, sharding, spelling, topk, urls, warc
 from starloom.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -172,3 +173,72 @@ def _(spark, sf_dir):
 @query("op10_site_templates")
 def _(spark, sf_dir):
     return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_spelling_variants",
+    rf"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+    counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+    summed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM counted, crc),
+    typed AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM summed),
+    words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+    cut AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+    pairs AS (SELECT a.word AS u, b.word AS v, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON cut.rest = words.word
+      UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON cut.rest = words.word),
+    near AS (SELECT u, count(*) AS n_near, max(m) AS most, arg_min(v, (-m, v)) AS best FROM pairs GROUP BY u),
+    forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN best END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM words LEFT JOIN near ON u = word),
+    chain AS (SELECT word, word AS reached, 0 AS step FROM forms UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.reached WHERE forms.form IS NOT NULL),
+    ends AS (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
+)
+def _(spark, sf_dir):
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"), typo_every=31)
+
+
+@query(
+    "op12_decontamination",
+    rf"""
+    WITH words AS (SELECT *, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT doc_id, text, row_number() OVER () AS rid FROM documents)),
+    items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    windows AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS piece
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
+    places AS (SELECT rid, i, size, array_to_string(w[i:i + size - 1], ' ') AS piece
+      FROM (SELECT rid, w, size, unnest(range(1, greatest(len(w) - size + 2, 1))) AS i FROM words, (SELECT DISTINCT size FROM windows))),
+    found AS MATERIALIZED (SELECT DISTINCT rid, i, places.size, item_id FROM places JOIN windows USING (piece, size)),
+    hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM found) GROUP BY rid),
+    ids AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS list FROM (SELECT DISTINCT rid, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM words LEFT JOIN hits USING (rid) LEFT JOIN ids USING (rid)""",
+)
+def _(spark, sf_dir):
+    found = decontamination.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    names = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
+
+
+@query(
+    "op13_phrase_collocations",
+    rf"""
+    WITH pieces AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+      FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL)),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+    f AS MATERIALIZED (SELECT lang, k, p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    inner_parts AS (SELECT lang, p[s:s + m - 1] AS p, max(a) AS most FROM (SELECT lang, p, a, m, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL),
+    kept AS (SELECT f.* FROM f LEFT JOIN inner_parts i ON f.lang = i.lang AND f.p = i.p WHERE f.k > 1 AND (most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * f.a)),
+    cuts AS (SELECT *, unnest(range(1, k)) AS c FROM kept),
+    scored AS (SELECT cuts.*, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * cuts.a) // (x.a + y.a) AS BIGINT) AS score FROM cuts
+      JOIN f x ON x.lang = cuts.lang AND x.p = cuts.p[1:c] JOIN f y ON y.lang = cuts.lang AND y.p = cuts.p[c + 1:cuts.k]),
+    best AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+)
+def _(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
