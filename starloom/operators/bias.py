@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.numeric import clip
+from starloom.operators import recommend
 from starloom.operators.skew import top_rows, before_each_row
 from starloom.session import durable, one_row
 
@@ -31,6 +32,17 @@ class RatingModel:
         value = clip(F.col(out), *self.clip_range) if self.clip_range else F.col(out)
         return scored.withColumn(out, F.rint(value) if rounded else value)
 
+    def inner_products(self, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The model as inner products: (user, factors, base) of ``users`` and (item, factors, bias) of all known items.
+
+        The prediction of a pair is base + bias + the product of both factor columns; null factors count as 0.
+        """
+        raise NotImplementedError
+
+    def recommend(self, users: DataFrame, k: int = 10, seen: DataFrame | None = None) -> DataFrame:
+        """user, item, score, rank: the ``k`` known items with the highest predictions per user, without the pairs in ``seen`` (``recommend.recommend``)."""
+        return recommend.recommend(self, users, seen, k)
+
 
 class MeanModel(RatingModel):
     """Half the user mean, half the item mean; the global mean stands in for an unknown side."""
@@ -67,6 +79,11 @@ class BiasModel(RatingModel):
             }
         )
 
+    def inner_products(self, users):
+        base = F.lit(self.g) + F.coalesce("user_bias", F.lit(0.0))
+        own = _join_side(users, self.users.select("user", "user_bias"), "user").select("user", F.lit(None).cast("array<double>").alias("factors"), base.alias("base"))
+        return own, self.items.select("item", F.lit(None).cast("array<double>").alias("factors"), F.col("item_bias").alias("bias"))
+
     def raw(self, df, out):
         rows = self.components(df)
         return rows.withColumn(out, F.col("global_mean") + F.col("user_bias") + F.col("item_bias")).drop("known_user", "known_item", "global_mean", "user_bias", "item_bias")

@@ -139,9 +139,9 @@ def test_factor_fallbacks(spark, ratings):
     model = factors.BiasedFactorModel(rank=2, iterations=2).fit(ratings)
     df = spark.createDataFrame([("new", "new"), ("u00", "new"), ("new", "i00")], "user string, item string")
     got = {(r["user"], r["item"]): r["prediction"] for r in model.predict(df).collect()}
-    b = {r["user"]: r["user_bias"] for r in model.bias.users.collect()}
-    assert np.isclose(got["new", "new"], model.bias.g)
-    assert np.isclose(got["u00", "new"], np.clip(model.bias.g + b["u00"], 1, 5))
+    b = {r["user"]: r["user_bias"] for r in model.users.collect()}
+    assert np.isclose(got["new", "new"], model.g)
+    assert np.isclose(got["u00", "new"], np.clip(model.g + b["u00"], 1, 5))
 
 
 def test_unknown_policy_of_baseline_knn(spark, ratings):
