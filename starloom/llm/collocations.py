@@ -1,18 +1,21 @@
-"""Phrase collocations by Toivonen's method: a sample proposes phrases, full passes count these and their negative border.
+"""Phrase collocations by Toivonen's method: a sample proposes phrases, and full passes count these and their negative border.
 
-The proposals S are the phrases that are frequent, at a lowered threshold, in a sample of the documents. A full pass counts every
-phrase whose parts without the last and without the first word are both proposed: these are the phrases of S and the
-negative border, those just outside S; a single word has no parts and is always counted. If a phrase of the border turns out
-frequent, it joins S, and a further pass counts what the larger S has in its border and the passes before have not
-counted. When no border phrase is frequent, none beyond it can be, and the counts are complete and exact whatever the sample was.
+The proposals S are the phrases that are frequent, at a lowered threshold, in a sample of the documents, found length by length. The first
+full pass counts every phrase whose parts without the last and without the first word are both proposed: these are the phrases of S
+and the negative border, those just outside S; a single word has no parts and is always counted. A frequent phrase that is
+not counted so contains a frequent phrase of the border. If the border fails, the expansion therefore takes all phrases that contain one of
+its frequent phrases and have no infrequent counted part; none is left beyond it, and the passes are closed.
 
-S is known to the tasks as a bitmap of hashed phrases of bounded size. A phrase that is taken for a proposed one by chance
-is counted without need, which changes nothing; the bitmap keeps its size through all passes, so that each phrase is counted by one.
+Up to here phrases are counted by hashes, in blocks of four bytes a phrase and one or more for its count. Phrases that share a hash add up, so no
+frequent one is lost. The second full pass counts, by their words, the phrases whose hash is frequent, together with
+those of the expansion. So the counts are complete and exact whatever the sample and the hashes were.
+
+Sets of hashes are known to the tasks as bitmaps of bounded size. What passes for a member by chance is counted without need.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,28 +25,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.words import mix
-from starloom.session import durable
+from starloom.session import durable, one_row
 
 LONGEST = 4  # words of a phrase
 SAMPLE_PARTS = 8  # one document in so many is in the sample
 LOWERED = 0.8  # of the threshold that the sample's share would make
-BUFFER_WORDS = 2_000_000  # words a task counts at once
-BUFFER_CHARS = 32_000_000  # or their characters
-MOST_BITS = 28  # the bitmap of proposed phrases has at most 2 ** 28 bits, 32 MB
+BUFFER_WORDS = 500_000  # words a task counts at once
+BUFFER_CHARS = 16_000_000  # or their characters
+BUCKET_WORDS = 1_000_000  # words whose hashed phrases are summed in one place
+MOST_BITS = 28  # a bitmap has at most 2 ** 28 bits, 32 MB
 _BLANKS = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b in b" \t" else b for b in range(256))
 COUNTED = "lang string, phrase string, k int, n long"
 
 
-class Proposed:
-    """Membership of hashed phrases, with false positives: a bitmap in 64-bit words. Without one, every phrase is a member."""
+class Members:
+    """A set of hashed phrases, with false positives: a bitmap in 64-bit words. Without one, every phrase is a member."""
 
     def __init__(self, bits: np.ndarray | None):
         self.bits = bits
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
+    def has(self, keys: np.ndarray) -> np.ndarray:
         if self.bits is None:
-            return np.ones(len(hashes), bool)
-        slot = hashes & np.uint64(len(self.bits) * 64 - 1)
+            return np.ones(len(keys), bool)
+        slot = mix(keys) & np.uint64(len(self.bits) * 64 - 1)
         return (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -56,11 +60,15 @@ def longer_hash(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(phrase) + word)
 
 
-class PhraseCounter:
-    """Counts of the phrases in a buffer of texts. Words are numbered by language, so a number stands for both."""
+def key_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """What a phrase is counted by: the bucket its hash falls into, and 32 bits of the hash."""
+    return ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
+
 
-    def __init__(self, longest: int, now: Proposed, before: Proposed | None, totals: bool):
-        self.longest, self.now, self.before, self.totals = longest, now, before, totals
+class Buffer:
+    """The words of some texts as numbers, one after the other. Words are numbered by language, so a number stands for both; 0 is the end of a piece."""
+
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
@@ -90,154 +98,216 @@ class PhraseCounter:
     def full(self) -> bool:
         return self.size >= BUFFER_WORDS or self.chars >= BUFFER_CHARS
 
-    def counts(self) -> Iterator[pa.RecordBatch]:
-        """COUNTED rows of the buffer; k = 0 are the words of a language in all."""
-        if not self.size:
-            return
-        ids = np.concatenate(self.parts).astype(np.int64)
-        langs = np.array(self.langs, np.int64)
-        names = pa.array(self.names, pa.string())
-        texts = pa.array([w.decode("utf-8") for w in self.words], pa.string())
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words in order, and the hash of each number."""
         hashes = np.fromiter((word_hash(self.names[lang], w) for lang, w in zip(self.langs, self.words)), np.uint64, len(self.words))
-        number = np.bincount(ids, minlength=len(texts))
+        return np.concatenate(self.parts).astype(np.int64), hashes
+
+    def border(self, least: int, longest: int, proposed: Members, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of the phrases of ``least`` to ``longest`` words whose parts are all proposed."""
+        ids, hashes = self._arrays()
+        keys, counts = [], []
+        number = np.bincount(ids, minlength=len(hashes))
         number[0] = 0
-        if self.totals:
-            total = np.zeros(len(names), np.int64)
-            np.add.at(total, langs, number)
-            yield self._rows(names, pa.array([""] * len(names), pa.string()), 0, total)
-        used = np.flatnonzero(number)
-        if self.before is None:
-            yield from self._in_batches(names, langs[used], texts.take(pa.array(used)), 1, number[used])
+        if least <= 1:
+            used = np.flatnonzero(number)
+            keys.append(key_of(hashes[used], buckets))
+            counts.append(number[used])
         # a phrase is held as the number of its distinct text, from 1, at the place of its first word; 0 where there is none
-        at, h, lang, text = ids, hashes, langs, texts
-        now, before = self.now.has(h), self.before.has(h) if self.before else None
-        now[0] = False
-        word_of = ids
-        for k in range(2, self.longest + 1):
-            first, second = at[:-1], at[1:]
-            places = np.flatnonzero(now[first] & now[second])
-            places = places[word_of[places + k - 1] > 0]
+        at, h = ids, hashes
+        for k in range(2, longest + 1):
+            member = proposed.has(key_of(h, buckets))
+            member[0] = False
+            places = np.flatnonzero(member[at[:-1]] & member[at[1:]])
+            places = places[ids[places + k - 1] > 0]
             if not len(places):
-                return
-            left, last = first[places], word_of[places + k - 1]
-            keys, where, number = np.unique(left * len(texts) + last, return_inverse=True, return_counts=True)
-            one = np.zeros(len(keys), np.int64)
-            one[where] = places  # a place of each
-            left, last, right = at[one], word_of[one + k - 1], at[one + 1]
-            longer_h = longer_hash(h[left], hashes[last])
-            longer_text = pc.binary_join_element_wise(text.take(pa.array(left)), texts.take(pa.array(last)), " ")
-            longer_lang = lang[left]
-            if before is None:
-                yield from self._in_batches(names, longer_lang, longer_text, k, number)
-            else:
-                new = np.flatnonzero(~(before[left] & before[right]))
-                yield from self._in_batches(names, longer_lang[new], longer_text.take(pa.array(new)), k, number[new])
-            if k == self.longest:
-                return
+                break
+            pairs, where, number = np.unique(at[places] * len(hashes) + ids[places + k - 1], return_inverse=True, return_counts=True)
+            left, last = np.divmod(pairs, len(hashes))
+            longer = longer_hash(h[left], hashes[last])
+            if k >= least:
+                keys.append(key_of(longer, buckets))
+                counts.append(number)
             at = np.zeros(len(at) - 1, np.int64)
             at[places] = where + 1
-            h = np.concatenate([np.zeros(1, np.uint64), longer_h])
-            lang = np.concatenate([[0], longer_lang])
-            text = pa.concat_arrays([pa.array([""], pa.string()), longer_text])
-            old = None if before is None else np.concatenate([[False], before[left] & before[right]]) & self.before.has(h)
-            now, before = self.now.has(h), old
-            now[0] = False
-
-    def _in_batches(self, names, lang, text, k, number) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(number), 50_000):
-            yield self._rows(names.take(pa.array(lang[a : a + 50_000])), text.slice(a, 50_000), k, number[a : a + 50_000])
-
-    def _rows(self, lang, text, k, number) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([lang, text, pa.array(np.full(len(number), k), pa.int32()), pa.array(number, pa.int64())], ["lang", "phrase", "k", "n"])
+            h = np.concatenate([np.zeros(1, np.uint64), longer])
+        return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
 
+    def phrases(self, longest: int, proposed: Members, frequent: Members, buckets: int) -> Iterator[pa.RecordBatch]:
+        """COUNTED rows, by their words, of the phrases that may be frequent; as k = 0 the words of each language.
 
-def count_phrases(texts: DataFrame, longest: int, now: Proposed, before: Proposed | None = None, totals: bool = False) -> DataFrame:
-    """COUNTED rows of ``texts`` (lang, text), summed: the phrases whose parts are proposed ``now`` and were not all so ``before``."""
+        These are the phrases counted with the border whose hash is frequent, and the expansion: phrases that were not counted, contain a
+        frequent one that is not proposed, and have no counted part that is infrequent.
+        """
+        ids, hashes = self._arrays()
+        langs, names = np.array(self.langs, np.int64), pa.array(self.names, pa.string())
+        texts = pa.array([w.decode("utf-8") for w in self.words], pa.string())
+        number = np.bincount(ids, minlength=len(hashes))
+        number[0] = 0
+        total = np.zeros(len(self.names), np.int64)
+        np.add.at(total, langs, number)
+        yield _rows(names, pa.array([""] * len(total), pa.string()), 0, total)
+        keys = key_of(hashes, buckets)
+        is_proposed, is_frequent = proposed.has(keys), frequent.has(keys)
+        is_frequent[0] = False
+        used = np.flatnonzero((number > 0) & is_frequent)
+        yield from _in_batches(names.take(pa.array(langs[used])), texts.take(pa.array(used)), 1, number[used])
+        word = hashes[ids]
+        inside, hopeful = is_proposed[ids], is_frequent[ids]  # counted and proposed; no counted part is infrequent
+        touched = hopeful & ~inside  # contains a frequent phrase that is not proposed
+        phrase, pair, n_pairs = word, None, 0
+        for k in range(2, longest + 1):
+            counted, touched, hopeful = inside[:-1] & inside[1:], touched[:-1] | touched[1:], hopeful[:-1] & hopeful[1:]
+            phrase = longer_hash(phrase[:-1], word[k - 1 :])
+            keys = key_of(phrase, buckets)
+            hopeful = hopeful & np.where(counted, frequent.has(keys), touched)
+            places = np.flatnonzero(hopeful)
+            if k == 2:  # pairs are numbered for the longer phrases, too
+                distinct, where, number = np.unique(ids[places] * len(hashes) + ids[places + 1], return_inverse=True, return_counts=True)
+                pair, n_pairs = np.zeros(len(ids), np.int64), len(distinct)
+                pair[places] = where
+                parts = np.divmod(distinct, len(hashes))
+            elif k == 3:
+                joined, number = np.unique(pair[places] * len(hashes) + ids[places + 2], return_counts=True)
+                first, last = np.divmod(joined, len(hashes))
+                parts = (*np.divmod(distinct[first], len(hashes)), last)
+            else:  # the first and the last pair, and the words between them
+                middle = [ids[places + i] for i in range(2, k - 2)]
+                rows = np.stack([pair[places] * n_pairs + pair[places + k - 2], *middle], axis=1)
+                rows, number = np.unique(rows, axis=0, return_counts=True) if middle else (lambda u: (u[0][:, None], u[1]))(np.unique(rows[:, 0], return_counts=True))
+                first, last = np.divmod(rows[:, 0], max(n_pairs, 1))
+                parts = (*np.divmod(distinct[first], len(hashes)), *[rows[:, 1 + i] for i in range(len(middle))], *np.divmod(distinct[last], len(hashes)))
+            if len(number):
+                text = pc.binary_join_element_wise(*[texts.take(pa.array(p)) for p in parts], " ")
+                yield from _in_batches(names.take(pa.array(langs[parts[0]])), text, k, number)
+            if k < longest:
+                own = counted & proposed.has(keys)
+                touched = touched | (counted & hopeful & ~own)
+                inside = own
+
+
+def _in_batches(lang: pa.Array, text: pa.Array, k: int, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(number), 50_000):
+        yield _rows(lang.slice(a, 50_000), text.slice(a, 50_000), k, number[a : a + 50_000])
+
+
+def _rows(lang: pa.Array, text: pa.Array, k: int, number: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, text, pa.array(np.full(len(number), k), pa.int32()), pa.array(number, pa.int64())], ["lang", "phrase", "k", "n"])
+
+
+def buffered(batches: Iterator[pa.RecordBatch], finish: Callable[[Buffer], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``finish`` of each full buffer of the texts (lang, text) in ``batches``, and of the last."""
+    buffer = Buffer()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                if text:
+                    buffer.add(lang, text)
+                    if buffer.full:
+                        yield from finish(buffer)
+                        buffer.clear()
+    if buffer.size:
+        yield from finish(buffer)
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row (bucket, block) per bucket: its number of phrases, 32 bits of each, sorted, and the counts, in one byte where they fit."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    bucket = keys >> np.uint64(32)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    blocks = []
+    for low, high in zip(edges, np.append(edges[1:], len(keys))):
+        n = counts[low:high]
+        many = np.flatnonzero(n > 255)
+        parts = [np.array([high - low, len(many)], "<u4"), (keys[low:high] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.where(n > 255, 0, n).astype("u1"), many.astype("<u4"), n[many].astype("<u8")]
+        blocks.append(b"".join(p.tobytes() for p in parts))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int64), pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, many = np.frombuffer(block, "<u4", 2)
+    at = 8 + 4 * int(size)
+    low, n = np.frombuffer(block, "<u4", size, 8), np.frombuffer(block, "u1", size, at).astype(np.int64)
+    at += int(size)
+    n[np.frombuffer(block, "<u4", many, at)] = np.frombuffer(block, "<u8", many, at + 4 * int(many)).astype(np.int64)
+    return low, n
+
+
+def frequent_keys(texts: DataFrame, threshold: int, least: int, longest: int, proposed: Members, buckets: int, log_bits: int) -> Members:
+    """The keys with ``threshold`` occurrences or more among the phrases of ``least`` to ``longest`` words whose parts are proposed.
+
+    They are summed by bucket; at most 2 ** log_bits bits reach the driver.
+    """
+    words = 1 << (log_bits - 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PhraseCounter(longest, now, before, totals)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                    if text:
-                        counter.add(lang, text)
-                        if counter.full:
-                            yield from counter.counts()
-                            counter.clear()
-        yield from counter.counts()
+        return buffered(batches, lambda buffer: iter([packed(*buffer.border(least, longest, proposed, buckets))]))
 
-    return texts.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        current, size = None, 0
+        bits = np.zeros(words, np.uint64)
 
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            low = np.concatenate([h[0] for h in held])
+            order = np.argsort(low, kind="stable")  # the blocks are sorted runs
+            low, n = low[order], np.concatenate([h[1] for h in held])[order]
+            edges = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            return low[edges], np.add.reduceat(n, edges)
 
-def proposed_bitmap(phrases: DataFrame, log_bits: int) -> Proposed:
-    """The bitmap of the ``phrases`` (lang, phrase): hashed in the tasks, united there, 2 ** log_bits bits to the driver at most."""
-    words = 1 << (log_bits - 6)
+        def finish() -> None:
+            if held:
+                low, n = merged()
+                slot = mix(np.uint64(current) << np.uint64(32) | low[n >= threshold].astype(np.uint64)) & np.uint64(words * 64 - 1)
+                np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+                held.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(words, np.uint64)
-        cache: dict[tuple[str, bytes], int] = {}
         for batch in batches:
-            found = np.empty(batch.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())):
-                if len(cache) > 200_000:
-                    cache.clear()
-                total = None
-                for word in phrase.encode("utf-8").split(b" "):
-                    own = cache.get((lang, word))
-                    if own is None:
-                        own = cache[lang, word] = word_hash(lang, word)
-                    total = own if total is None else _longer(total, own)
-                found[i] = total
-            slot = found & np.uint64(words * 64 - 1)
-            np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+                if bucket != current:
+                    finish()
+                    current, size = bucket, 0
+                held.append(unpacked(block))
+                size += len(held[-1][0])
+                if size >= 4_000_000:
+                    held[:] = [merged()]
+                    size = 0
+        finish()
         some = np.flatnonzero(bits)
         for a in range(0, len(some), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 100_000], pa.int64()), pa.array(bits[some[a : a + 100_000]].view(np.int64), pa.int64())], ["slot", "bits"])
 
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    blocks = texts.mapInArrow(run, "bucket long, block binary").repartition("bucket").sortWithinPartitions("bucket")
+    rows = blocks.mapInArrow(add_up, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(words, np.uint64)
     bits[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return Proposed(bits)
-
-
-_M = (1 << 64) - 1
-
-
-def _mix(x: int) -> int:
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _M
-    return x ^ (x >> 31)
-
-
-def _longer(phrase: int, word: int) -> int:
-    """``longer_hash`` of single numbers."""
-    return _mix((_mix(phrase) + word) & _M)
+    return Members(bits)
 
 
 def frequent_phrases(documents: DataFrame, least: int = 30, longest: int = LONGEST, sample_parts: int = SAMPLE_PARTS) -> DataFrame:
     """lang, phrase, k, n: every phrase of up to ``longest`` words that occurs ``least`` times in a language, and the language's words in all (k = 0).
 
-    The counts are exact. The sample (one document in ``sample_parts``, by a hash of its id and text) only bears on the
-    number of passes: at most one for each length but the last beyond the first.
+    The counts are exact. The sample (one document in ``sample_parts``, by a hash of its id and text) only bears on the work of the two passes.
     """
     texts = documents.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_parts)) == 0).select("lang", "text")
     texts = texts.select("lang", "text")
-    lowered = max(1, int(LOWERED * least / sample_parts))
-    proposed = durable(count_phrases(sample, longest - 1, Proposed(None)).where(F.col("n") >= lowered).select("lang", "phrase"))
-    log_bits = min(MOST_BITS, max(16, (32 * proposed.count()).bit_length()))
-    bits, before, counted = proposed_bitmap(proposed, log_bits), None, None
-    while True:
-        found = durable(count_phrases(texts, longest, bits, before, totals=before is None).where((F.col("n") >= least) | (F.col("k") == 0)))
-        counted = found if counted is None else counted.unionByName(found)
-        border = found.where((F.col("k") > 0) & (F.col("k") < longest)).select("lang", "phrase").join(proposed, ["lang", "phrase"], "left_anti")
-        border = durable(border)
-        if border.isEmpty():
-            return counted
-        proposed = proposed.unionByName(border)
-        more = proposed_bitmap(border, log_bits)
-        bits, before = Proposed(bits.bits | more.bits), bits
+    words = one_row(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")))["chars"] // 6
+    buckets = min(1 << 31, -(-words // BUCKET_WORDS) or 1)
+    log_bits = min(MOST_BITS, max(min(16, MOST_BITS), (words // 2).bit_length()))
+    lowered, proposed = max(1, int(LOWERED * least / sample_parts)), Members(None)
+    for k in range(1, longest):
+        found = frequent_keys(sample, lowered, k, k, proposed, buckets, log_bits)
+        proposed = found if k == 1 else Members(proposed.bits | found.bits)
+    frequent = frequent_keys(texts, least, 1, longest, proposed, buckets, log_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return buffered(batches, lambda buffer: buffer.phrases(longest, proposed, frequent, buckets))
+
+    counted = texts.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    return counted.where((F.col("n") >= least) | (F.col("k") == 0))
 
 
 def collocations(documents: DataFrame, least: int = 30, longest: int = LONGEST, first: int | None = 2000, sample_parts: int = SAMPLE_PARTS, within: tuple[int, int] = (80, 100)) -> DataFrame:
