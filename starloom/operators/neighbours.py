@@ -95,6 +95,31 @@ def common_sums(rows: DataFrame, group: str, member: str, value: str, ordinary:
     return sums.unionByName(tiled).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
+def needed_sums(rows: DataFrame, group: str, member: str, value: str, pairs: DataFrame) -> DataFrame:
+    """The sums of ``common_sums`` for the given ``pairs`` (a, b; any order) alone, ``a < b``.
+
+    The member of a pair with fewer rows is expanded to its groups, and the other is looked up there, so the work is the sum of the smaller
+    sizes, and a popular member is never expanded against a rare one. Where that is more than pairing the members of all groups, those are
+    paired and the wanted kept.
+    """
+    r = durable(rows.select(F.col(group).cast("string").alias("g"), F.col(member).cast("string").alias("m"), F.col(value).cast("double").alias("x")))
+    wanted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    sizes = r.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
+    for side in ("a", "b"):
+        wanted = wanted.join(sizes.select(F.col("m").alias(side), F.col("size").alias(f"size_{side}")), side)
+    wanted = durable(wanted.select("a", "b", F.when(F.col("size_a") <= F.col("size_b"), F.col("a")).otherwise(F.col("b")).alias("few"), F.least("size_a", "size_b").alias("size")))
+    cost = one_row(wanted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")))["n"]
+    all_pairs = one_row(r.groupBy("g").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") * F.col("c").cast("double") / 2), F.lit(0.0)).alias("n")))["n"]
+    if cost > all_pairs:
+        return common_sums(r, "g", "m", "x").join(wanted.select("a", "b"), ["a", "b"], "left_semi")
+    first = wanted.join(r.select(F.col("m").alias("few"), "g", F.col("x").alias("_few")), "few")
+    first = first.withColumn("m", F.when(F.col("few") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    both = first.join(r.withColumnRenamed("x", "_many"), ["m", "g"])
+    is_a = F.col("few") == F.col("a")
+    x, y = F.when(is_a, F.col("_few")).otherwise(F.col("_many")), F.when(is_a, F.col("_many")).otherwise(F.col("_few"))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(F.least(x, y)).alias("smin"))
+
+
 def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
     """Each pair once from either side."""
     back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *values)
@@ -113,9 +138,19 @@ class WeightedUserSimilarity:
     def fit(self, ratings: DataFrame) -> "WeightedUserSimilarity":
         self.ratings = durable(average_duplicates(ratings))
         self.users = self.ratings.groupBy("user").agg(F.avg("rating").alias("mean"), F.count(F.lit(1)).alias("n_items"))
+        return self
+
+    @property
+    def pairs(self) -> DataFrame:
+        """The similarity of every two users with an item in common."""
+        return self.similarities()
+
+    def similarities(self, wanted: DataFrame | None = None) -> DataFrame:
+        """a, b, similarity, jaccard, n of the ``wanted`` pairs (a, b) of users, or of all, with an item in common; ``a < b``."""
         u = self.users.withColumnRenamed("user", "_u")
         centred = self.ratings.join(u, self.ratings["user"] == u["_u"]).select("user", "item", (F.col("rating") - F.col("mean")).alias("x"))
-        sums = common_sums(centred, "item", "user", "x").filter(F.col("n") >= self.min_common)
+        sums = common_sums(centred, "item", "user", "x") if wanted is None else needed_sums(centred, "item", "user", "x", wanted)
+        sums = sums.filter(F.col("n") >= self.min_common)
         for side in ("a", "b"):
             t = self.users.select(F.col("user").alias("_u"), F.col("n_items").alias(f"n_{side}"))
             sums = sums.join(t, sums[side] == t["_u"]).drop("_u")
@@ -127,18 +162,19 @@ class WeightedUserSimilarity:
             sim = sim * jac
         elif self.jaccard == "mix":
             sim = sim * (self.alpha * jac + (1 - self.alpha))
-        self.pairs = sums.select("a", "b", sim.alias("similarity"), jac.alias("jaccard"), "n")
-        return self
+        return sums.select("a", "b", sim.alias("similarity"), jac.alias("jaccard"), "n")
 
     def predict(self, df: DataFrame, k: int = 20, out: str = "prediction") -> DataFrame:
         """User mean plus the weighted deviations of the ``k`` most similar raters of the item.
 
         Without raters or with similarities that sum to zero it is the user mean; unknown users get null.
         """
-        sims = both_ways(self.pairs, "similarity").withColumnsRenamed({"a": "_a", "b": "_b"})
         asked = df.select("user", "item").distinct()
         r = self.ratings.select(F.col("user").alias("_v"), F.col("item").alias("_i"), F.col("rating").alias("_r"))
         raters = asked.join(r, asked["item"] == r["_i"]).filter(F.col("_v") != F.col("user"))
+        raters = durable(raters.select("user", "item", "_v", "_r"))
+        sims = self.similarities(raters.select(F.col("user").alias("a"), F.col("_v").alias("b")))
+        sims = both_ways(sims, "similarity").withColumnsRenamed({"a": "_a", "b": "_b"})
         scored = raters.join(sims, (raters["user"] == sims["_a"]) & (raters["_v"] == sims["_b"]), "left")
         scored = scored.select("user", "item", "_v", "_r", F.coalesce("similarity", F.lit(0.0)).alias("_s"))
         top = top_rows(scored, ["user", "item"], [F.col("_s").desc(), F.col("_v")], k, "_k")
@@ -244,25 +280,25 @@ class BaselineKNN(RatingModel):
         self.baseline.fit(ratings, stored=True)
         base = self.baseline.components(ratings)
         x = F.col("rating") - F.col("global_mean") - F.col("user_bias") - F.col("item_bias")
-        self.residuals = base.select("user", "item", x.alias("x"))
+        self.residuals = durable(base.select("user", "item", x.alias("x")))
+        return self
+
+    def similarities(self, wanted: DataFrame) -> DataFrame:
+        """a, b, similarity of the ``wanted`` pairs (a, b), from either side, where it is positive."""
         group, member = ("item", "user") if self.user_based else ("user", "item")
-        sums = common_sums(self.residuals, group, member, "x")
+        sums = needed_sums(self.residuals, group, member, "x", wanted)
         length = F.sqrt("sxx") * F.sqrt("syy")
         n = F.col("n") - 1
         sim = F.when(length > 0, F.col("sxy") / length * n / (n + F.lit(self.shrinkage)))
-        self.similarities = both_ways(sums.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") > 0), "similarity")
-        return self
+        return both_ways(sums.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") > 0), "similarity")
 
     def raw(self, df, out):
         asked = df.select("user", "item").distinct()
         r = self.residuals.select(F.col("user").alias("_u"), F.col("item").alias("_i"), F.col("x").alias("_x"))
-        s = self.similarities
-        if self.user_based:
-            mine = asked.join(r, asked["item"] == r["_i"])
-            hits = mine.join(s, (mine["user"] == s["a"]) & (mine["_u"] == s["b"]))
-        else:
-            mine = asked.join(r, asked["user"] == r["_u"])
-            hits = mine.join(s, (mine["item"] == s["a"]) & (mine["_i"] == s["b"]))
+        same, own, other = ("_i", "user", "_u") if self.user_based else ("_u", "item", "_i")
+        mine = durable(asked.join(r, asked["item" if self.user_based else "user"] == r[same]).select("user", "item", F.col(own).alias("_a"), F.col(other).alias("_b"), "_x"))
+        s = self.similarities(mine.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        hits = mine.join(s, (mine["_a"] == s["a"]) & (mine["_b"] == s["b"]))
         top = top_rows(hits, ["user", "item"], [F.col("similarity").desc(), F.col("b")], self.k, "_k")
         stats = top.groupBy(F.col("user").alias("_pu"), F.col("item").alias("_pi")).agg(
             F.sum(F.col("similarity") * F.col("_x")).alias("_num"), F.sum("similarity").alias("_den"), F.count(F.lit(1)).alias("_n")
