@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,48 @@ _OTHER = re.compile(r"[^\x00-\x1b !-~À-ÖØ-öø-ɏ‐-‧]")
 _PLAIN = (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"[^\s[^\W\d_]\d]", r"(?:[^\s\w]|_)")
 
 
+@functools.cache
+def library_class(name: str, example: str) -> str:
+    """The code points that the tiktoken library takes for ``\\p{name}``, as the inside of a character class.
+
+    Its Unicode tables may be older or newer than those of other libraries. Each code point is encoded behind an ``example`` of the class: the two
+    are merged only where one match holds both.
+    """
+    first = example.encode()
+    ranks = {bytes([x]): x for x in range(256)} | {first + bytes([x]): 256 + x for x in range(256)}
+    probe = tiktoken.Encoding("probe", pat_str=rf"\p{{{name}}}+|[\s\S]", mergeable_ranks=ranks, special_tokens={})
+    ranges: list[list[int]] = []
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for low in range(0, len(points), 8192):
+        part = points[low : low + 8192]
+        tokens = probe.encode_ordinary("".join(f"{example}{chr(c)}\n" for c in part))
+        ends = np.cumsum([2 if t >= 256 else 1 for t in tokens])
+        merged = set((ends - 2)[np.array(tokens) >= 256].tolist())  # places in bytes
+        at = 0
+        for c in part:
+            if at in merged:
+                if ranges and ranges[-1][1] == c - 1:
+                    ranges[-1][1] = c
+                else:
+                    ranges.append([c, c])
+            at += 2 + (1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4)
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges)
+
+
+def as_the_library(pattern: str) -> str:
+    """``pattern`` with letters and numbers as the library knows them."""
+    for name, example in (("L", "a"), ("N", "1")):
+        sign = rf"\p{{{name}}}"
+        if sign in pattern:
+            inside = library_class(name, example)
+            parts, depth = [], 0
+            for piece in regex.split(r"(\\p\{.\}|\\.|[\[\]])", pattern):
+                depth += (piece == "[") - (piece == "]")
+                parts.append(piece if piece != sign else inside if depth else f"[{inside}]")
+            pattern = "".join(parts)
+    return pattern
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -110,7 +153,7 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(as_the_library(pattern)).findall
         plain = pattern
         for general, simple in _PLAIN:
             plain = plain.replace(general, simple)

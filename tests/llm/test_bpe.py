@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 
-from starloom.llm.bpe import MergeReplay, encode_documents, read_ranks, replay_merges
+from starloom.llm.bpe import MergeReplay, as_the_library, encode_documents, read_ranks, replay_merges
 
 from .hard_texts import HARD_TEXTS
 
@@ -62,3 +63,17 @@ def test_documents(documents, library):
         assert rows[i].ids_sha256 == hashlib.sha256(ids).hexdigest()
         assert rows[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert encode_documents(documents([]), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_classes_are_the_librarys(library):
+    """Code points that the pattern's own engine classes otherwise, and some of all others, before a contraction, a digit and a space."""
+    own = regex.compile(r"\p{L}|\p{N}")
+    theirs = regex.compile(as_the_library(r"\p{L}|\p{N}"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(map(chr, points))
+    differ = set(own.findall(text)) ^ set(theirs.findall(text))
+    coder = MergeReplay(read_ranks(PATH), public_tokenizers.PATTERN)
+    asked = sorted(differ) + [chr(c) for c in points[::97]] + [chr(c) for c in points[:0x250]]
+    for low in range(0, len(asked), 500):
+        line = "".join(f"{c}'s{c}1{c} {c}" for c in asked[low : low + 500])
+        assert np.frombuffer(coder.encode([line])[0], "<u4").tolist() == library.encode_ordinary(line)
