@@ -15,19 +15,24 @@ from starloom.session import durable, one_row
 from starloom.sources import derived
 
 
+# Boosting ends by validation, after PATIENCE rounds without gain; ROUNDS is the most.
+ROUNDS, PATIENCE = 60, 4
+STOPS = {"rounds": ROUNDS, "patience": PATIENCE}
+
+
 def inputs(spark, sf):
     return derived.train_reviews(spark, sf), derived.test_reviews(spark, sf), derived.users(spark, sf), derived.businesses(spark, sf)
 
 
 @query("md_boosted_raw_features")
 def _(spark, sf):
-    _, _, scored = training.train_raw_booster(*inputs(spark, sf), rounds=3)
+    _, _, scored = training.train_raw_booster(*inputs(spark, sf), **STOPS)
     return plain(scored.select("review_id", "rating", "prediction_raw", "prediction", "history_band"))
 
 
 @query("md_feature_importance")
 def _(spark, sf):
-    model, _, _ = training.train_raw_booster(*inputs(spark, sf), rounds=2)
+    model, _, _ = training.train_raw_booster(*inputs(spark, sf), **STOPS)
     return plain(model.importance())
 
 
@@ -59,26 +64,26 @@ def _(spark, sf):
 
 @query("rt_train_router")
 def _(spark, sf):
-    run = training.train_router(*inputs(spark, sf), embeddings=derived.item_embeddings(spark, sf), rounds=2, n_archetypes=8)
+    run = training.train_router(*inputs(spark, sf), embeddings=derived.item_embeddings(spark, sf), **STOPS)
     return plain(run.metrics["scored"].select("review_id", "rating", "history_band", "served_branch", "prediction_raw", "prediction"))
 
 
 @query("rt_train_transition_router")
 def _(spark, sf):
-    run = training.train_router(*inputs(spark, sf), rounds=2, n_archetypes=8, cold_bands=["0", "1", "2-5", "6-20"], transition=True)
+    run = training.train_router(*inputs(spark, sf), cold_max_band="6-20", transition=True, **STOPS)
     return plain(run.metrics["by_branch"])
 
 
 @query("rt_batch_scoring")
 def _(spark, sf):
     tr, te, users, biz = inputs(spark, sf)
-    run = training.train_router(tr, te, users, biz, rounds=2, n_archetypes=8)
+    run = training.train_router(tr, te, users, biz, **STOPS)
     return plain(training.predict_router(run, te.drop("stars"), users, biz))
 
 
 @query("rt_tabular_experts")
 def _(spark, sf):
-    scored = training.train_tabular_experts(*inputs(spark, sf), rounds=2)
+    scored = training.train_tabular_experts(*inputs(spark, sf), **STOPS)
     return plain(scored.select("review_id", "rating", "band", "expert_name", "baseline", "prediction_raw", "prediction"))
 
 
@@ -90,7 +95,7 @@ def _(spark, sf):
     context = pair_features.fit_review_context(t)
     frame = lambda df, forced: pair_features.boosting_features(df, u, i, t, context, 64, forced)
     names = [c for c in frame(t, None).columns if c not in ("review_id", "user", "item", "rating") and not c.startswith("prod_emb_")]
-    model = Booster(names, rounds=2, maxDepth=4).fit(frame(fit_rows, F.col("forced_new")))
+    model = Booster(names, rounds=20, maxDepth=4).fit(frame(fit_rows, F.col("forced_new")))  # for submission: all rows, no validation
     scored = model.score(frame(test(spark, sf), None), ["review_id", "rating", "is_new_user"])
     return plain(scored)
 

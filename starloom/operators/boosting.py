@@ -113,9 +113,9 @@ class Booster:
     feature table filled it; ``categorical`` columns are text (``Categories``).
     """
 
-    def __init__(self, features: list[str], label="rating", weight: str | None = None, rounds=20, patience: int | None = None, stage: int = 10, categorical: list[str] = (), **params):
+    def __init__(self, features: list[str], label="rating", weight: str | None = None, rounds=20, patience: int | None = None, stage: int | None = None, categorical: list[str] = (), **params):
         self.features, self.label, self.weight, self.rounds, self.params = list(features), label, weight, rounds, params
-        self.patience, self.stage, self.categories = patience or max(1, rounds), stage, Categories([c for c in categorical], label)
+        self.patience, self.stage, self.categories = patience or max(1, rounds), stage or patience or 10, Categories(categorical, label)
 
     @property
     def inputs(self) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions import numeric
+from starloom.operators.splits import random_split
 
 
 def attach_engagement(df: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -118,14 +119,18 @@ def cold_stack_rows(validation: DataFrame, train: DataFrame, users: DataFrame, o
     return stack_rows(cold, train, users, overall)
 
 
-def run_stacker(version: str, fit_rows: DataFrame, score_rows: DataFrame, rounds: int = 5) -> DataFrame:
-    """Fit one stacker and score rows: v1 to v5 are one model, v6 is one model for known and one for new users."""
+def run_stacker(version: str, fit_rows: DataFrame, score_rows: DataFrame, rounds: int = 60, patience: int = 4) -> DataFrame:
+    """Fit one stacker and score rows: v1 to v5 are one model, v6 is one model for known and one for new users.
+
+    A fifth of the fit rows, drawn by review, decides when boosting stops; the model is then refitted on all of them.
+    """
     from starloom.operators.boosting import Booster
 
     keep = ["review_id", "history_band"] + (["rating"] if "rating" in score_rows.columns else [])
     if version == "v6":
         known = lambda df: df.filter(F.col("history_band") != "0")
         cold = lambda df: df.filter(F.col("history_band") == "0")
-        return run_stacker("v6_known", known(fit_rows), known(score_rows), rounds).unionByName(run_stacker("v6_cold", cold(fit_rows), cold(score_rows), rounds))
-    model = Booster(STACK_FEATURES[version], rounds=rounds, maxDepth=4).fit(fit_rows)
+        return run_stacker("v6_known", known(fit_rows), known(score_rows), rounds, patience).unionByName(run_stacker("v6_cold", cold(fit_rows), cold(score_rows), rounds, patience))
+    rest, held = random_split(fit_rows, F.col("review_id"), 0.2)
+    model = Booster(STACK_FEATURES[version], rounds=rounds, patience=patience, maxDepth=4).fit(rest, held).refit(fit_rows)
     return model.score(score_rows, keep)
