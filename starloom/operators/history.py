@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import vectors
 from starloom.functions.dates import DAY_MICROS
+from starloom.operators.running_median import median_before_each_row
 from starloom.operators.skew import before_each_row, has_long_keys, last_rows_before, quantiles, top_rows
 from starloom.session import durable
 
@@ -136,7 +137,7 @@ def prefix_statistics(df: DataFrame, overall: float) -> DataFrame:
 
     Needs user, timestamp, review_id, rating, business_stars and the facet columns. With few distinct ratings the median
     comes from running counts per level, so that it can be carried across pieces of a long history. With
-    many, each user's ratings are kept in order by a running percentile, a user to a task.
+    many, from a running percentile, and in a long history from the middle values of the pieces before (``running_median``).
     """
     known = rating_levels(df, "rating")
     levels = known or []
@@ -144,8 +145,7 @@ def prefix_statistics(df: DataFrame, overall: float) -> DataFrame:
     sums = {**_SUMS, **{f"_c{i}": ("sum", f"_level{i}") for i in range(len(levels))}}
     long_histories = has_long_keys(work, ["user"])
     if known is None:
-        earlier = Window.partitionBy("user").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-        work = work.withColumn("_median", F.percentile("rating", F.lit(0.5)).over(earlier))
+        work = median_before_each_row(work, ["user"], ORDER, "rating", "_median")
     work = before_each_row(work, ["user"], ORDER, sums, check=long_histories)
     stats = _statistics(
         F.col("_n"), F.col("_s"), F.col("_ss"), F.col("_low"), F.col("_high"), _median(known), F.col("_npos"),
