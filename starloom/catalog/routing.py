@@ -248,6 +248,15 @@ def _(spark, sf):
     return plain(rank_runs(run_table(runs(spark, sf))).select("run", "overall", "known", "position"))
 
 
+@query("so_selected_run", f"""WITH {RUNS}, t AS (SELECT run, sum(mae * n) / sum(n) AS overall, max(mae) FILTER (history_band = '1') AS one, max(mae) FILTER (history_band = '2-5') AS short FROM r GROUP BY 1),
+o AS (SELECT *, row_number() OVER w AS p, lead(overall) OVER w AS next_overall, lead(one) OVER w AS next_one, lead(short) OVER w AS next_short FROM t WINDOW w AS (ORDER BY overall, one, short))
+SELECT run, round(overall, 6) AS overall FROM o WHERE p = (SELECT CASE WHEN abs(overall - next_overall) <= 0.005 AND (next_one < one OR (next_one = one AND next_short < short)) THEN 2 ELSE 1 END FROM o WHERE p = 1)""", "preds")
+def _(spark, sf):
+    from starloom.plans.selection import run_table, select_run
+
+    return plain(select_run(run_table(runs(spark, sf))).select("run", "overall"))
+
+
 @query("an_validation_base", """
 SELECT review_id, "user", item, rating, coalesce(n, 0) AS item_train_support, CASE WHEN coalesce(n, 0) > 0 THEN 'known_item' ELSE 'new_item' END AS item_status, CASE WHEN coalesce(n, 0) = 0 THEN '0' WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 20 THEN '6-20' ELSE '>20' END AS item_support_bucket
 FROM ctest LEFT JOIN (SELECT item, count(*) AS n FROM ctrain GROUP BY 1) USING (item)""", "ctest ctrain")

@@ -405,3 +405,13 @@ def _(spark, sf):
     return derived.businesses(spark, sf).select(
         "business_id", text.first_allowed(t, ["ring", "bolt", "green"]).alias("family"), text.macro_category(t, ["widget", "gear"]).alias("macro")
     )
+
+
+@query("bk_rank_quantile_fallback", """
+WITH c AS (SELECT business_id, count(*) AS n FROM train GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n, business_id) - 1 AS place, count(*) OVER () AS total, (SELECT count(DISTINCT n) FROM c) AS kinds FROM c)
+SELECT business_id, ['few', 'some', 'many'][greatest(ceil(place * least(3, kinds) / greatest(total - 1, 1)), 1)::INT] AS part,
+ CASE WHEN n >= 0 AND n <= 20 THEN 'few' WHEN n > 20 AND n <= 30 THEN 'some' WHEN n > 30 AND n <= 100000 THEN 'many' END AS fixed FROM r""", "train")
+def _(spark, sf):
+    c = derived.train_reviews(spark, sf).groupBy("business_id").agg(F.count("*").alias("n"))
+    ranked = buckets.bucketed(c, "n", "business_id", [0, 20, 20, 100000], ["few", "some", "many"], "part")  # equal edges: ranks decide
+    return buckets.bucketed(ranked, "n", "business_id", [0, 20, 30, 100000], ["few", "some", "many"], "fixed").select("business_id", "part", "fixed")

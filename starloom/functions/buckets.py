@@ -73,6 +73,26 @@ def fixed_edges(x: Column, edges: list[float], labels: list[str]) -> Column:
     return out
 
 
+def bucketed(df: DataFrame, column: str, key: str, edges: list[float], labels: list[str], out: str) -> DataFrame:
+    """``df`` with the label of ``column`` between fixed ``edges``; a missing value counts as the median (0 without any).
+
+    Edges that do not rise strictly cannot be used. Then rows are ranked by value and ``key``, and the ranks cut into as many equal parts as there are
+    labels, or distinct values if these are fewer. Ranks come from range partitions where the table is long.
+    """
+    from starloom.operators.skew import before_each_row, quantiles
+
+    median = one_row(quantiles(df, [], column, {"m": 0.5}))["m"]
+    value = F.coalesce(F.col(column).cast("double"), F.lit(0.0 if median is None else float(median)))
+    if all(a < b for a, b in zip(edges, edges[1:])):
+        return df.withColumn(out, fixed_edges(value, edges, labels))
+    rows = df.withColumns({"_value": value, "_one": F.lit(1)})
+    size = one_row(rows.select("_value").groupBy("_value").agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")))
+    parts = min(len(labels), max(1, size["distinct"]))
+    ranked = before_each_row(rows, [], ["_value", key], {"_before": ("sum", "_one")})
+    part = F.greatest(F.ceil(F.coalesce("_before", F.lit(0)) * parts / F.lit(max(size["n"] - 1, 1))), F.lit(1)).cast("int")
+    return ranked.withColumn(out, F.element_at(F.array(*[F.lit(x) for x in labels[:parts]]), part)).select(*df.columns, out)
+
+
 def segment_label(count: Column) -> Column:
     """2-3 and 4-5 for short histories, null otherwise."""
     return F.when(count.between(2, 3), "2-3").when(count.between(4, 5), "4-5")
