@@ -16,7 +16,7 @@ from starloom.sources import derived
 
 
 # Boosting ends by validation, after PATIENCE rounds without gain; ROUNDS is the most.
-ROUNDS, PATIENCE = 60, 4
+ROUNDS, PATIENCE = 60, 3
 STOPS = {"rounds": ROUNDS, "patience": PATIENCE}
 
 
