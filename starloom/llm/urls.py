@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_RULES = 100_000  # rule rows of some 150 bytes: 15 MB at most; a longer list is joined by shuffling
-MOST_LENGTHS = 4096  # different lengths of rule paths; they become literals of the plan
+MOST_LENGTHS = 256  # different lengths of rule paths that become constants of the plan
 
 
 def lower_ascii(c: Column) -> Column:
@@ -39,15 +39,36 @@ def prepared_rules(rules: DataFrame, prefix_digits: int) -> DataFrame:
     named = named.select(lower_ascii(F.col("host")).alias("host"), "path", "verdict")
     named = named.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rule = F.concat("host", "path")
-    return named.select(rule.alias("rule"), F.length("host").alias("host_length"), "verdict", *_hashed(F.concat_ws("\n", "host", "path"), prefix_digits))
+    labels = F.size(F.split("host", r"\.", -1)).alias("labels")
+    return named.select(rule.alias("rule"), F.length("host").alias("host_length"), labels, "verdict", *_hashed(F.concat_ws("\n", "host", "path"), prefix_digits))
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All pairs of a host suffix (at label borders) and a path prefix of one of ``lengths``, as an array of ``suffix\\nprefix``."""
+def host_suffixes(host: Column, most_labels: int) -> Column:
+    """The suffixes of ``host`` at label borders with at most ``most_labels`` labels."""
     labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    size = F.size(labels)
+    return F.transform(F.sequence(F.greatest(size - most_labels + 1, F.lit(1)), size), lambda i: F.concat_ws(".", F.slice(labels, i, size)))
+
+
+def expressions(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """All pairs of a host suffix and a path prefix of one of ``lengths``, as an array of ``suffix\\nprefix``."""
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path)), lambda n: F.substring(path, 1, n))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat_ws("\n", s, p))))
+    return F.flatten(F.transform(host_suffixes(host, most_labels), lambda s: F.transform(prefixes, lambda p: F.concat_ws("\n", s, p))))
+
+
+def expanded_addresses(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each of ``addresses`` (host, path) once per expression that a rule may have: no more host labels than the longest rule host, and path lengths of rules only.
+
+    A few lengths are constants of the plan; many are a table, joined to the lengths of a path's prefixes.
+    """
+    known = rules.select((F.length("rule") - F.col("host_length")).alias("n")).distinct()
+    lengths = [r["n"] for r in known.limit(MOST_LENGTHS + 1).collect()]
+    most_labels = rules.agg(F.max("labels").alias("m")).first()["m"] or 0
+    host, path = F.col("host"), F.col("path")
+    if len(lengths) <= MOST_LENGTHS:
+        return addresses.select("host", "path", F.explode(F.array_distinct(expressions(host, path, sorted(lengths), most_labels))).alias("expression"))
+    prefixes = addresses.select("host", "path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n")).join(known, "n")
+    return prefixes.select("host", "path", F.explode(F.transform(host_suffixes(host, most_labels), lambda s: F.concat_ws("\n", s, F.substring(path, F.lit(1), F.col("n"))))).alias("expression"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_digits: int = 8) -> DataFrame:
@@ -55,7 +76,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefi
 
     A rule fits a URL whose host is the rule's or a subdomain of it and whose path starts with the rule's path. The
     longest rule text wins, then the longer host. Without a fitting rule: rule null, verdict ``default``; so also for
-    null and malformed URLs and for an empty rule table. Repeated rows stay repeated.
+    null and malformed URLs and for an empty rule table. Repeated rows stay repeated; an empty table gives an empty one. A very long URL takes time in
+    proportion to its length and the number of rule path lengths.
 
     The distinct (host, path) pairs are expanded and joined with the rules on ``prefix_digits`` hexadecimal digits of
     SHA-256; equal full digests confirm. The best rule per pair comes back by an equi-join, in which a pair that many
@@ -64,14 +86,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefi
     pages = pages.drop("host", "path", "rule", "verdict")
     rules = prepared_rules(rules, prefix_digits)
     few = rules.count() <= BROADCAST_RULES
-    lengths = [r[0] for r in rules.select((F.length("rule") - F.col("host_length")).alias("n")).distinct().limit(MOST_LENGTHS + 1).collect()]
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"rule paths of more than {MOST_LENGTHS} different lengths")
     parsed = pages.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
-    if not lengths:
+    if rules.isEmpty():
         return parsed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     addresses = parsed.select("host", "path").distinct()
-    expanded = addresses.select("host", "path", F.explode(F.array_distinct(expressions(F.col("host"), F.col("path"), sorted(lengths)))).alias("expression"))
+    expanded = expanded_addresses(addresses, rules)
     hashed = expanded.select("host", "path", *_hashed(F.col("expression"), prefix_digits))
     theirs = rules.select(F.col("short"), F.col("digest").alias("rule_digest"), "rule", "host_length", "verdict")
     hits = hashed.join(F.broadcast(theirs) if few else theirs, "short").where(F.col("digest") == F.col("rule_digest"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,6 +53,18 @@ def judged(url):
     return host, path, best and best[0] + best[1], best[2] if best else "allow"
 
 
+def test_long_urls_and_many_path_lengths(spark, make, monkeypatch):
+    long = "http://" + "a." * 300_000 + "example.com/en/" + "x" * 400_000
+    started = time.time()
+    frame = make([(0, long), (1, "http://b.net/es/1"), (2, None)], "page_id long, url string")
+    want = [("example.com/en/", "block"), ("net/es/", "block"), (None, "allow")]
+    for most in (256, 2):  # lengths as constants and as a table
+        monkeypatch.setattr(urls, "MOST_LENGTHS", most)
+        rows = sorted(urls.judge_urls(frame.where("page_id > 0") if most == 2 else frame, urls.rule_table(spark, RULES + [("q.com", "/" + "y" * n, "block") for n in range(5)])).collect(), key=lambda r: r.page_id)
+        assert [(r.rule, r.verdict) for r in rows] == want[-len(rows) :]
+    assert time.time() - started < 60
+
+
 def test_url_rules(spark, make):
     frame = make([(i, u, "mine") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
     rows = urls.judge_urls(frame, urls.rule_table(spark, RULES)).collect()
