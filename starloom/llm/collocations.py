@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.llm.keysets import BLOCKS, Members, frequent_keys, key_of, packed
 from starloom.llm.words import mix
 from starloom.session import durable, one_row
 
@@ -38,19 +39,6 @@ _BLANKS = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b in b" \t" else b f
 COUNTED = "lang string, phrase string, k int, n long"
 
 
-class Members:
-    """A set of hashed phrases, with false positives: a bitmap in 64-bit words. Without one, every phrase is a member."""
-
-    def __init__(self, bits: np.ndarray | None):
-        self.bits = bits
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            return np.ones(len(keys), bool)
-        slot = mix(keys) & np.uint64(len(self.bits) * 64 - 1)
-        return (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word, seed=xxhash.xxh3_64_intdigest(lang.encode("utf-8")))
 
@@ -60,11 +48,6 @@ def longer_hash(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(phrase) + word)
 
 
-def key_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """What a phrase is counted by: the bucket its hash falls into, and 32 bits of the hash."""
-    return ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
-
-
 class Buffer:
     """The words of some texts as numbers, one after the other. Words are numbered by language, so a number stands for both; 0 is the end of a piece."""
 
@@ -211,79 +194,13 @@ def buffered(batches: Iterator[pa.RecordBatch], finish: Callable[[Buffer], Itera
         yield from finish(buffer)
 
 
-def packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A row (bucket, block) per bucket: its number of phrases, 32 bits of each, sorted, and the counts, in one byte where they fit."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    bucket = keys >> np.uint64(32)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    blocks = []
-    for low, high in zip(edges, np.append(edges[1:], len(keys))):
-        n = counts[low:high]
-        many = np.flatnonzero(n > 255)
-        parts = [np.array([high - low, len(many)], "<u4"), (keys[low:high] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.where(n > 255, 0, n).astype("u1"), many.astype("<u4"), n[many].astype("<u8")]
-        blocks.append(b"".join(p.tobytes() for p in parts))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int64), pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
-
-
-def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size, many = np.frombuffer(block, "<u4", 2)
-    at = 8 + 4 * int(size)
-    low, n = np.frombuffer(block, "<u4", size, 8), np.frombuffer(block, "u1", size, at).astype(np.int64)
-    at += int(size)
-    n[np.frombuffer(block, "<u4", many, at)] = np.frombuffer(block, "<u8", many, at + 4 * int(many)).astype(np.int64)
-    return low, n
-
-
-def frequent_keys(texts: DataFrame, threshold: int, least: int, longest: int, proposed: Members, buckets: int, log_bits: int) -> Members:
-    """The keys with ``threshold`` occurrences or more among the phrases of ``least`` to ``longest`` words whose parts are proposed.
-
-    They are summed by bucket; at most 2 ** log_bits bits reach the driver.
-    """
-    words = 1 << (log_bits - 6)
+def frequent_hashes(texts: DataFrame, threshold: int, least: int, longest: int, proposed: Members, buckets: int, log_bits: int) -> Members:
+    """The keys with ``threshold`` occurrences or more among the phrases of ``least`` to ``longest`` words whose parts are proposed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return buffered(batches, lambda buffer: iter([packed(*buffer.border(least, longest, proposed, buckets))]))
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        current, size = None, 0
-        bits = np.zeros(words, np.uint64)
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            low = np.concatenate([h[0] for h in held])
-            order = np.argsort(low, kind="stable")  # the blocks are sorted runs
-            low, n = low[order], np.concatenate([h[1] for h in held])[order]
-            edges = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-            return low[edges], np.add.reduceat(n, edges)
-
-        def finish() -> None:
-            if held:
-                low, n = merged()
-                slot = mix(np.uint64(current) << np.uint64(32) | low[n >= threshold].astype(np.uint64)) & np.uint64(words * 64 - 1)
-                np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
-                held.clear()
-
-        for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
-                if bucket != current:
-                    finish()
-                    current, size = bucket, 0
-                held.append(unpacked(block))
-                size += len(held[-1][0])
-                if size >= 4_000_000:
-                    held[:] = [merged()]
-                    size = 0
-        finish()
-        some = np.flatnonzero(bits)
-        for a in range(0, len(some), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 100_000], pa.int64()), pa.array(bits[some[a : a + 100_000]].view(np.int64), pa.int64())], ["slot", "bits"])
-
-    blocks = texts.mapInArrow(run, "bucket long, block binary").repartition("bucket").sortWithinPartitions("bucket")
-    rows = blocks.mapInArrow(add_up, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(words, np.uint64)
-    bits[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return Members(bits)
+    return frequent_keys(texts.mapInArrow(run, BLOCKS), threshold, log_bits)
 
 
 def frequent_phrases(documents: DataFrame, least: int = 30, longest: int = LONGEST, sample_parts: int = SAMPLE_PARTS) -> DataFrame:
@@ -299,9 +216,9 @@ def frequent_phrases(documents: DataFrame, least: int = 30, longest: int = LONGE
     log_bits = min(MOST_BITS, max(min(16, MOST_BITS), (words // 2).bit_length()))
     lowered, proposed = max(1, int(LOWERED * least / sample_parts)), Members(None)
     for k in range(1, longest):
-        found = frequent_keys(sample, lowered, k, k, proposed, buckets, log_bits)
+        found = frequent_hashes(sample, lowered, k, k, proposed, buckets, log_bits)
         proposed = found if k == 1 else Members(proposed.bits | found.bits)
-    frequent = frequent_keys(texts, least, 1, longest, proposed, buckets, log_bits)
+    frequent = frequent_hashes(texts, least, 1, longest, proposed, buckets, log_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return buffered(batches, lambda buffer: buffer.phrases(longest, proposed, frequent, buckets))

@@ -5,7 +5,8 @@ dealt by signatures that lose no pair: sizes are cut into overlapping ranges, an
 shingles fall into k + T parts by hash, where k bounds the symmetric difference of a linked pair of that range. Such
 a pair agrees on T whole parts at least. So a class that shares fewer than T of its signatures with other classes has no partner and is
 out; the others meet under the signatures they share. There a T-occurrence search over inverted lists of
-shingles finds the links (``TileIndex.search``).
+shingles finds the links (``TileIndex.search``). Most signatures stand in one class only: they are counted in packed blocks first,
+and a row is made of those alone that come twice.
 """
 
 from __future__ import annotations
@@ -20,14 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.components import connected_components
-from starloom.llm.tables import drop_finished_shuffles, packed_rows
+from starloom.llm.keysets import Members, frequent_keys, key_of, packed
+from starloom.llm.tables import drop_finished_shuffles, packed_rows, tidy
 from starloom.llm.words import WordHashes, mix, windows
-from starloom.session import durable
+from starloom.session import durable, one_row
 
 RANGE_RATIO = 1.35  # of the largest to the smallest size of a range
 TILE_CLASSES = 512  # classes in one half of a tile
 TILE_SHINGLES = 1_000_000  # shingles in one half of a tile, 8 MB
 BROADCAST_ROWS = 500_000  # of 36 bytes each
+BLOCK_SIGNATURES = 500_000  # signatures a task holds before it hands on their counts
+BUCKET_WORDS = 1_000_000  # words of texts whose signatures are counted in one place
+MOST_BITS = 28  # the bitmap of repeated signatures has at most 2 ** 28 bits, 32 MB
 AGREE = 5  # a linked pair agrees on one part more for each so many parts that may differ
 MU = 0.02  # weight of a probe against a merged posting in the choice of the long lists
 
@@ -86,31 +91,78 @@ def need_code(size_range: int, need: int) -> int:
     return size_range << 32 | need
 
 
-def document_features(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """doc_id, text_hash, n (shingles), k and k2 (two independent hashes of the set), signatures and needs of each row.
+FEATURES = "doc_id long, text_hash long, n long, k long, k2 long, needs array<long>, bucket long, block binary"
 
-    Of the copies of a set in one task, the first alone has signatures.
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches (text) with the shingle sets of their rows."""
+    cache = WordHashes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            yield part, [shingle_set(t, width, cache) for t in part.column("text").to_pylist()]
+
+
+def document_features(documents: DataFrame, width: int, threshold: Fraction, buckets: int) -> DataFrame:
+    """Rows of two kinds: of each document doc_id, text_hash, n (shingles), k and k2 (two independent hashes of the set) and needs; and
+    blocks of the counted signatures of all sets (bucket, block; the rest null).
+
+    Of the copies of a set in one task, the first alone has needs and signatures.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, signatures, seen = WordHashes(), Signatures(threshold), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_set(t, width, cache) for t in part.column("text").to_pylist()]
-                keys = [pa.array([class_key(s, seed) for s in sets], pa.int64()) for seed in (1, 2)]
-                of_each = []
-                for s, k in zip(sets, keys[0].to_pylist()):
-                    of_each.append(NO_SIGNATURES if k in seen else signatures.of(s))
-                    seen.add(k)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in of_each])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for x, _ in of_each])))
-                needs = pa.array([n for _, n in of_each], pa.list_(pa.int64()))
-                columns = [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *keys, lists, needs]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "k", "k2", "signatures", "needs"])
+        signatures, seen = Signatures(threshold), set()
+        names: list[np.ndarray] = []
+        size = 0
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "n", "k", "k2")] + [("needs", pa.list_(pa.int64())), ("bucket", pa.int64()), ("block", pa.binary())])
+
+        def blocks() -> pa.RecordBatch:
+            keys, counts = np.unique(key_of(np.concatenate(names).view(np.uint64), buckets), return_counts=True)
+            names.clear()
+            rows = packed(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, f.type) for f in list(schema)[:6]] + [rows.column("bucket"), rows.column("block")], schema=schema)
+
+        for part, sets in _sets(batches, width):
+            keys = [pa.array([class_key(s, seed) for s in sets], pa.int64()) for seed in (1, 2)]
+            needs = []
+            for s, k in zip(sets, keys[0].to_pylist()):
+                own, need = NO_SIGNATURES if k in seen else signatures.of(s)
+                seen.add(k)
+                names.append(own)
+                needs.append(need)
+                size += len(own)
+            none = [pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())]
+            columns = [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *keys, pa.array(needs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *none], schema=schema)
+            if size >= BLOCK_SIGNATURES:
+                yield blocks()
+                size = 0
+        if names:
+            yield blocks()
 
     source = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, n long, k long, k2 long, signatures array<long>, needs array<long>")
+    return source.mapInArrow(tidy(run), FEATURES)
+
+
+def shared_signatures(documents: DataFrame, width: int, threshold: Fraction, shared: Members, buckets: int) -> DataFrame:
+    """Distinct rows (signature, k) of the signatures in ``shared``, read from the texts again: those that two or more classes, or copies of one class in several tasks, have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signatures, seen = Signatures(threshold), set()
+        for _, sets in _sets(batches, width):
+            names, keys = [], []
+            for s in sets:
+                k = class_key(s, 1)
+                if k not in seen:
+                    seen.add(k)
+                    own = signatures.of(s)[0]
+                    own = own[shared.has(key_of(own.view(np.uint64), buckets))]
+                    names.append(own)
+                    keys.append(np.full(len(own), k, np.int64))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(keys))], ["signature", "k"])
+
+    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "signature long, k long").distinct()
 
 
 class TileIndex:
@@ -230,7 +282,7 @@ def tile_shingles(documents: DataFrame, rows: DataFrame, width: int) -> DataFram
     if rows.count() <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
     found = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("first"))).select("tile", "k", "role", "comp", "text")
-    return found.mapInArrow(run, "tile long, k long, role int, comp long, shingles binary")
+    return found.mapInArrow(tidy(run), "tile long, k long, role int, comp long, shingles binary")
 
 
 def search_tiles(documents: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
@@ -262,7 +314,7 @@ def search_tiles(documents: DataFrame, rows: DataFrame, width: int, threshold: F
         yield finish()
 
     placed = tile_shingles(documents, durable(rows), width)
-    return placed.repartition("tile").sortWithinPartitions("tile", "role", "k").mapInArrow(run, "u long, v long")
+    return placed.repartition("tile").sortWithinPartitions("tile", "role", "k").mapInArrow(tidy(run), "u long, v long")
 
 
 def half_size(n):
@@ -311,13 +363,6 @@ def remaining_tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
     return chunked.join(sides, ["signature", "chunk"]).select("tile", "k", "role", "comp")
 
 
-def shared_signatures(features: DataFrame) -> DataFrame:
-    """Rows (signature, k) of the signatures that two or more classes, or copies of one class in several tasks, have."""
-    rows = features.select("k", F.explode("signatures").alias("signature"))
-    shared = rows.groupBy("signature").agg(F.count("*").alias("c")).where("c > 1").select("signature")
-    return rows.join(shared, "signature").select("signature", "k").distinct()
-
-
 def of_several_classes(members: DataFrame) -> DataFrame:
     """The rows (signature, k) of signatures of two or more classes."""
     several = members.groupBy("signature").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("signature")
@@ -365,16 +410,21 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, threshold: Fr
     is first compared with single members of it (a number of pairs linear in the rows); only classes that stay
     apart are then compared with each other, in tiles of bounded size. Set keys have 64 bits; a collision of two sets is found by a second hash and raises an error.
     """
-    features = durable(document_features(documents, width, threshold))
+    words = one_row(documents.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")))["chars"] // 6
+    parts = min(1 << 31, -(-words // BUCKET_WORDS) or 1)
+    found = durable(document_features(documents, width, threshold, parts))
+    features = found.where("bucket is null").drop("bucket", "block")
     classes = durable(features.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("k2").alias("a"), F.max("k2").alias("b")))
     if not classes.where("a <> b").isEmpty():
         raise ValueError("two different shingle sets have the same 64-bit key")
-    shared = durable(shared_signatures(features))
+    repeated = frequent_keys(found.where("bucket is not null").select("bucket", "block"), 2, min(MOST_BITS, max(16, (4 * words).bit_length())))
+    shared = durable(shared_signatures(documents, width, threshold, repeated, parts))
     drop_finished_shuffles(documents.sparkSession)
     members = durable(often_enough(shared, features).join(classes.select("k", "n"), "k"))
     buckets = durable(cheaper_buckets(members))
     sizes = buckets.groupBy("signature").agg((F.count("*") <= half_size(F.max("n"))).alias("fits"))
     sized = durable(buckets.join(sizes, "signature"))
+    drop_finished_shuffles(documents.sparkSession)
     within = sized.where("fits").select(F.col("signature").alias("tile"), "k", F.lit(2).alias("role"), F.col("k").alias("comp"))
     large = sized.where("not fits").drop("fits")
     ids = classes.select("k", "first")

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm.tables import tidy
+
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 16_384  # tokens of one step group: 16 windows of 1024, 32 of 512, and so on
 BUFFER_TOKENS = 1_500_000  # a task packs so many tokens at a time; 4 bytes each
@@ -208,4 +210,4 @@ def pack_documents(documents: DataFrame, encoder: Callable[[], Callable[[list[st
         packer.close()
         yield from flush()
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.tables import packed_rows
+from starloom.llm.tables import give_back_memory, packed_rows
 from starloom.llm.words import WordHashes, windows
+from starloom.session import durable
 
 SPACES = " \t\n\r\x0b\x0c"  # fixed: everything else is part of a word
 SYMBOLS = "#*$%&|<>"  # fixed
@@ -54,7 +55,9 @@ def statistics_of(text: str | None, cache: WordHashes) -> tuple[int, ...]:
 
 
 def _statistics(texts: pa.Array) -> pa.Array:
-    rows = np.array([statistics_of(t, _statistics_cache) for t in texts.to_pylist()], np.int64).reshape(-1, len(STATISTICS))
+    found = [statistics_of(t, _statistics_cache) for at in range(0, len(texts), 500) for t in texts.slice(at, 500).to_pylist()]
+    rows = np.array(found, np.int64).reshape(-1, len(STATISTICS))
+    give_back_memory()
     return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATISTICS))], STATISTICS)
 
 
@@ -190,11 +193,12 @@ def labelled_sample(labels: DataFrame, rows: int) -> DataFrame:
 def fit_decision_list(documents: DataFrame, labels: DataFrame, sample_rows: int = 10_000, **options) -> list[Rule]:
     """Fit on at most ``sample_rows`` labelled documents (the one bound of this operator; it concerns the fit only).
 
-    Their ids are broadcast (16 bytes a row), the statistics of those that the base rule keeps come to the driver, and the
-    rules, which judge only such documents, are learned there.
+    Their ids are broadcast (16 bytes a row) and their rows stored, so that no other text is counted. The statistics of those that the
+    base rule keeps come to the driver, and the rules, which judge only such documents, are learned there.
     """
     wanted = F.broadcast(labelled_sample(labels, sample_rows))
-    found = documents.select("doc_id", "text").join(wanted, "doc_id").withColumn("s", text_statistics(F.col("text"))).where(~base_failed(F.col("s")))
+    sample = durable(documents.select("doc_id", "text").join(wanted, "doc_id"))
+    found = sample.withColumn("s", text_statistics(F.col("text"))).where(~base_failed(F.col("s")))
     numbers = found.select("doc_id", "quality", *[c.alias(k) for k, c in features(F.col("s")).items()]).orderBy("doc_id").limit(sample_rows)
     frame = numbers.toPandas()
     names = [c for c in frame.columns if c not in ("doc_id", "quality")]

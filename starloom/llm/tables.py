@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed_rows(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as one struct column ``row``, so that columns added beside it clash with none."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-
-
 def drop_finished_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
@@ -34,6 +31,29 @@ def drop_finished_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def give_back_memory() -> None:
+    """Return what a worker process has freed to the system: Spark keeps workers for later tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which leaves no freed memory behind in the worker process."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back_memory()
+
+    return tidied
+
+
+def packed_rows(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as one struct column ``row``, so that columns added beside it clash with none."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)``; ``sql`` is its DuckDB counterpart."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MOST_CACHED = 500_000  # words a worker remembers before it starts anew; some 80 MB
+MOST_CACHED = 100_000  # words a worker remembers before it starts anew; some 20 MB
 
 
 class WordHashes(dict):

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from starloom.llm import collocations
+from starloom.llm import collocations, keysets
 
 from .hard_texts import HARD_TEXTS
 
@@ -92,6 +92,6 @@ def test_longer_phrases_and_packed_counts(make):
         assert {tuple(r) for r in collocations.collocations(frame, least=3, longest=longest, first=None, sample_parts=4).collect()} == brute_force(rows, 3, longest, None)
     rng = np.random.default_rng(1)
     keys, counts = rng.permutation(5000).astype(np.uint64) * np.uint64(0x9E3779B9) % np.uint64(7 << 32), rng.choice([1, 2, 255, 256, 10**12], 5000)
-    blocks = collocations.packed(keys, counts).to_pylist()
-    back = {(b["bucket"] << 32 | int(low)): int(n) for b in blocks for low, n in zip(*collocations.unpacked(b["block"]))}
+    blocks = keysets.packed(keys, counts).to_pylist()
+    back = {(b["bucket"] << 32 | int(low)): int(n) for b in blocks for low, n in zip(*keysets.unpacked(b["block"]))}
     assert back == dict(zip(keys.tolist(), counts.tolist()))
