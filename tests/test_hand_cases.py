@@ -168,3 +168,11 @@ def test_thresholds_are_applied_in_serving_too(spark):
     )
     got = values(routing.replacement(df, ["2-5"], {"2-5": 0.5}), "id", "final_prediction")
     assert got == {"a": 5.0, "b": 3.0, "c": 3.0, "d": 3.0}
+
+
+def test_parsers_read_a_value_once(spark):
+    """A repeated column expression is evaluated again, so the size of the expression is the work per row."""
+    days = text.open_days(F.col("h"))._jc.toString()
+    cells = text.flat_attributes(F.col("h"))._jc.toString()
+    assert days.count("variant_get") == 1 and days.count("parse_json") == 1
+    assert cells.count("schema_of_variant") <= 2 and cells.count("parse_json") == 2
