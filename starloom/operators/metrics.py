@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from starloom.functions import buckets
 from starloom.functions.numeric import round_half_up
 from starloom.operators.skew import quantiles, top_rows
+from starloom.session import durable
 
 
 def _error(prediction, rating="rating") -> Column:
@@ -204,7 +205,8 @@ def _delta_columns() -> list[Column]:
 
 def segment_metrics(snapshot: DataFrame) -> DataFrame:
     """Served share, errors, weights and corrections of each short segment."""
-    short = with_short_segments(snapshot.filter((F.col("history_band") == "2-5") & F.col("history_count").between(2, 5)))
+    short = snapshot.filter((F.col("history_band") == "2-5") & F.col("history_count").between(2, 5))
+    short = durable(with_short_segments(short))  # read for sizes, quantiles and sums
     sizes = short.groupBy("snapshot", "segment").agg(
         F.count(F.lit(1)).alias("total_rows"), F.sum(F.col("deep_available").cast("bigint")).alias("served_rows"),
         F.avg(F.col("deep_available").cast("int")).alias("served_pct"),
@@ -222,7 +224,7 @@ def served_two_three(snapshot: DataFrame) -> DataFrame:
 
 def crosscuts(snapshot: DataFrame) -> DataFrame:
     """The same metrics over six bucketings of the rows with two or three earlier reviews."""
-    short = served_two_three(snapshot)
+    short = durable(served_two_three(snapshot))  # read for the edges of three columns and for the sums
     bucket = lambda c, prefix: buckets.quantile_bucket(F.col(c), buckets.quantile_edges(short, c), prefix)
     cuts = {
         "item_status": F.col("item_status"), "item_support_bucket": F.col("item_support_bucket"),
