@@ -84,9 +84,37 @@ def sparse_health(long: DataFrame, key: str, n_dims: int) -> DataFrame:
     return long.sparkSession.createDataFrame([row])
 
 
-MAX_QUERY_ROWS = 20_000
-MAX_ITEM_ROWS = 20_000
+MAX_QUERY_ROWS = 50_000
+MAX_ITEM_ROWS = 50_000
+LEAST_QUERY_ROWS = 1_000
 CENTROID_BLOCK = 1_000
+QUERY_STEP, ITEM_STEP = 256, 2_048  # shape of the matrix of cosines that a task holds
+
+
+def _best_places(queries: np.ndarray, items: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item place and cosine of the best ``take`` items of each query, by cosine to 12 digits, ties to the smaller place.
+
+    The items are gone through in steps; after the first, only cosines that reach the worst kept one of their query are looked at.
+    """
+    row, place, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    worst = np.full(len(queries), -np.inf)
+    for at in range(0, len(items), ITEM_STEP):
+        found = queries @ items[at : at + ITEM_STEP].T
+        if not np.isfinite(found).all():
+            found = np.where(np.isnan(found), -np.inf, found)  # comes last
+        if at == 0 and found.shape[1] > take:
+            worst = np.partition(found, -take, axis=1)[:, -take]
+        r, c = np.nonzero(found >= (worst - 2e-12)[:, None])
+        row, place, cos = np.concatenate([row, r]), np.concatenate([place, c + at]), np.concatenate([cos, found[r, c]])
+        order = np.lexsort((place, -np.round(cos, 12), row))
+        row, place, cos = row[order], place[order], cos[order]
+        starts = np.searchsorted(row, np.arange(len(queries)))
+        kept = np.arange(len(row)) - starts[row] < take
+        row, place, cos = row[kept], place[kept], cos[kept]
+        full = np.bincount(row, minlength=len(queries)) == take
+        ends = np.searchsorted(row, np.arange(len(queries)), side="right") - 1
+        worst = np.where(full, np.round(cos[np.maximum(ends, 0)], 12), -np.inf)
+    return row, place, np.where(cos == -np.inf, np.nan, cos)
 
 
 def _nearest_in_block(k: int):
@@ -96,13 +124,11 @@ def _nearest_in_block(k: int):
         if not len(queries) or not len(items):
             return pd.DataFrame({"anchor": [], "neighbour": [], "cosine": []}).astype({"anchor": str, "neighbour": str, "cosine": float})
         items = items.sort_values("id", kind="stable")
-        ids, vectors_ = items["id"].to_numpy(dtype=object), np.stack(items["u"].to_numpy())
-        take, parts = min(k + 1, len(ids)), []
-        for at in range(0, len(queries), 1_000):  # bounds the matrix of cosines
-            some = queries.iloc[at : at + 1_000]
-            cos = np.stack(some["u"].to_numpy()) @ vectors_.T
-            top = np.argsort(-np.round(cos, 12), axis=1, kind="stable")[:, :take]
-            parts.append(pd.DataFrame({"anchor": np.repeat(some["id"].to_numpy(dtype=object), take), "neighbour": ids[top].ravel(), "cosine": np.take_along_axis(cos, top, axis=1).ravel()}))
+        ids, vectors_, parts = items["id"].to_numpy(dtype=object), np.stack(items["u"].to_numpy()), []
+        for at in range(0, len(queries), QUERY_STEP):
+            some = queries.iloc[at : at + QUERY_STEP]
+            row, place, cos = _best_places(np.stack(some["u"].to_numpy()), vectors_, min(k + 1, len(ids)))
+            parts.append(pd.DataFrame({"anchor": some["id"].to_numpy(dtype=object)[row], "neighbour": ids[place], "cosine": cos}))
         return pd.concat(parts)
 
     return best
@@ -111,12 +137,15 @@ def _nearest_in_block(k: int):
 def nearest(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` most similar items (cosine) of each query row, itself left out: ``anchor, neighbour, cosine, rank``.
 
-    Blocks of bounded numbers of queries and of items meet in tasks, each pair of blocks once; a task multiplies them and keeps
-    ``k`` per query, and the partial lists are merged by a top-k window. No vector passes through the driver.
+    Blocks of bounded numbers of queries and of items meet in tasks, each pair of blocks once; a task multiplies them step by step and keeps
+    ``k`` per query, and the partial lists are merged by a top-k window. Few queries are dealt into smaller blocks, so that all cores
+    have some. No vector passes through the driver.
     """
     unit = lambda df: df.select(F.col(key).cast("string").alias("id"), vectors.unit(F.col("embedding")).alias("u"))
     asked, offered = durable(unit(queries)), durable(unit(items))
-    query_blocks, item_blocks = max(1, -(-asked.count() // MAX_QUERY_ROWS)), max(1, -(-offered.count() // MAX_ITEM_ROWS))
+    n, item_blocks = asked.count(), max(1, -(-offered.count() // MAX_ITEM_ROWS))
+    shares = -(-4 * queries.sparkSession.sparkContext.defaultParallelism // item_blocks)
+    query_blocks = max(1, -(-n // MAX_QUERY_ROWS), min(shares, -(-n // LEAST_QUERY_ROWS)))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("_q", block(query_blocks)).withColumn("_i", copies(item_blocks))

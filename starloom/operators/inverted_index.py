@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions import vectors
-from starloom.operators.embeddings import MAX_ITEM_ROWS, MAX_QUERY_ROWS, nearest
+from starloom.operators.embeddings import nearest
 from starloom.operators.skew import top_rows
 from starloom.operators.splits import sample_rows
 from starloom.session import durable
 
 SAMPLE_ROWS = 50_000  # rows that the centres are fitted to
 MOST_LISTS = 4096  # their centres go to every task
+MAX_QUERY_ROWS = 20_000  # in a crowd
+MAX_ITEM_ROWS = 20_000  # in a piece of a list
 
 
 def _unit(df: DataFrame, key: str) -> DataFrame:
