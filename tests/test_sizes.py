@@ -22,3 +22,29 @@ def test_a_block_of_neighbours_holds_a_small_matrix_and_equals_a_full_sort():
     assert got["neighbour"].tolist() == [f"i{n:05d}" for n in top.ravel()]
     assert np.allclose(got["cosine"], np.take_along_axis(cos, top, axis=1).ravel(), equal_nan=True)
     assert peak < 60 << 20  # a matrix of 1,000 queries and all items alone has 72 MB
+
+
+def test_pair_features_leave_the_vectors_behind(spark):
+    from starloom.plans import pair_features
+    from starloom.plans.profiles import dense_profiles
+
+    items = spark.createDataFrame([("i1", [3.0, 4.0]), ("i2", [1.0, 0.0]), ("i3", None)], "business_id string, embedding array<double>")
+    log = [("r1", "a", "i1", 5.0), ("r2", "a", "i2", 3.0), ("r3", "a", "i9", 1.0), ("r4", "b", "i9", 2.0), ("r5", "c", "i3", 4.0), ("r6", None, "i1", 4.0)]
+    reviews = spark.createDataFrame(log, "review_id string, user string, item string, rating double").selectExpr("*", "timestamp_seconds(0) as timestamp")
+    users = dense_profiles(reviews, items, 2, "centered").where("user_id is not null")
+    assert {r["user_id"]: [round(x, 6) for x in r["embedding"]] for r in users.collect()} == {"a": [3.0, 4.0]}  # weights 2 and 0 by the mean of all three
+    rows = pair_features.pair_feature_rows(pair_features.rows_with_both_vectors(reviews, users, items, reviews))
+    assert not {"user_vector", "item_vector"} & set(rows.columns)
+    assert {(r["review_id"], round(r["dot"], 6), round(r["cosine"], 6), r["history_count"]) for r in rows.collect()} == {("r1", 25.0, 1.0, 3), ("r2", 3.0, 0.6, 3)}
+
+
+def test_a_replaced_result_leaves_the_disk(spark):
+    import os
+
+    from starloom.session import Stored
+
+    first = Stored(spark.range(9))
+    second = first.replaced_by(first.rows.selectExpr("id + 1 as id"))
+    assert not os.path.exists(first.folder.removeprefix("file:")) and os.path.exists(second.folder.removeprefix("file:"))
+    assert sorted(r["id"] for r in second.rows.collect()) == list(range(1, 10))
+    second.delete()
