@@ -48,3 +48,20 @@ def test_a_replaced_result_leaves_the_disk(spark):
     assert not os.path.exists(first.folder.removeprefix("file:")) and os.path.exists(second.folder.removeprefix("file:"))
     assert sorted(r["id"] for r in second.rows.collect()) == list(range(1, 10))
     second.delete()
+
+
+def test_fits_leave_no_state_of_their_steps(spark, tmp_path, monkeypatch):
+    import itertools
+
+    from starloom import session
+    from starloom.operators import factors
+    from starloom.operators.descent import BlockDescent
+
+    rows = [(f"u{n % 7}", f"i{n % 5}", float(1 + n % 4)) for n in range(35)]
+    log = spark.createDataFrame(rows, "user string, item string, rating double")
+    number = itertools.count()
+    monkeypatch.setattr(session, "shared_folder", lambda _, name: f"{tmp_path}/{name}-{next(number)}")
+    fitted = BlockDescent(2, 3, 0.02, 0.02, blocks=2).fit(log)
+    svd = factors.BiasSVDModel(rank=2, steps=3, extra=1).fit(log)
+    assert next(number) > 4 and not list(tmp_path.iterdir())
+    assert fitted.users.count() == 7 and svd.raw(log, "p").count() == 35
