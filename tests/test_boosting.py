@@ -1,5 +1,7 @@
 """Stages, early stopping, refits and text columns of the boosters."""
 
+import pathlib
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators import boosting
 from starloom.operators.boosting import Booster
+from starloom.session import shared_folder
 
 
 def noisy(spark, n=500, seed=1):
@@ -66,3 +69,28 @@ def test_no_row_sees_its_own_label(spark):
     categories = boosting.Categories(["city"], "rating").fit(df, ["review_id"])
     assert {round(r["_cat_city"], 6) for r in categories.apply(df, fitting=True).collect()} == {3.0}
     assert len({round(r["_cat_city"], 6) for r in categories.apply(df).collect()}) == 5
+
+
+def stored_bytes(spark):
+    return sum(p.stat().st_size for p in pathlib.Path(shared_folder(spark, "x").removeprefix("file:")).parent.rglob("*") if p.is_file())
+
+
+def test_a_fit_leaves_nothing_on_disk(spark):
+    df = noisy(spark, 400, 5)
+    train, held = df.where("review_id < 'r200'"), df.where("review_id >= 'r200'")
+    before = stored_bytes(spark)
+    booster = Booster(["a", "b", "c"], rounds=6, patience=6, stage=2, maxDepth=2).fit(train, held)
+    booster.refit(df)
+    assert len(booster.errors) == 6 and stored_bytes(spark) == before
+
+
+def test_stored_predictions_change_no_round(spark, monkeypatch):
+    df = noisy(spark, 400, 6)
+    train, held = df.where("review_id < 'r200'"), df.where("review_id >= 'r200'")
+    fits = []
+    for stages in (1, 100):
+        monkeypatch.setattr(boosting, "STAGES_READ", stages)
+        fits.append(Booster(["a", "b", "c"], rounds=9, patience=9, stage=2, maxDepth=3).fit(train, held))
+    assert np.allclose(fits[0].errors, fits[1].errors) and fits[0].best_rounds == fits[1].best_rounds
+    totals = [[r[0] for r in b._scored(held).orderBy("review_id").select("_total").collect()] for b in fits]
+    assert np.allclose(*totals)
