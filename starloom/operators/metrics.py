@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import buckets
 from starloom.functions.numeric import round_half_up
-from starloom.operators.skew import quantiles, top_rows
+from starloom.operators.skew import before_each_row, quantiles, top_rows
 from starloom.session import durable
 
 
@@ -63,20 +63,20 @@ def ndcg(df: DataFrame, group: str, score: str, relevance: str, tie: str, k: int
     return got.join(best, group).select(group, value.alias("ndcg"))
 
 
-def preference_auc(df: DataFrame, prediction: str, tie: str = "review_id", first: int = 20) -> DataFrame:
-    """Per user the share of liked-disliked pairs ranked right (ties half) among the first 20 of each, averaged.
+def preference_auc(df: DataFrame, prediction: str, tie: str = "review_id", first: int | None = None) -> DataFrame:
+    """Per user the share of all liked-disliked pairs ranked right (ties half), averaged over the users with both; rows without a prediction are left out.
 
-    With at most 20 rows on either side, the pairs of a user are compared inside one array expression.
+    Pairs are counted, not made: a liked row wins against the disliked rows of lower predictions. With ``first`` only so many rows
+    of either side count, by ``tie``.
     """
     sided = df.withColumn("_side", F.when(F.col("rating") >= 4, 1).when(F.col("rating") <= 2, 0)).filter(F.col("_side").isNotNull())
-    kept = top_rows(sided, ["user", "_side"], [tie], first, "_r")
-    lists = kept.groupBy("user").agg(
-        F.collect_list(F.when(F.col("_side") == 1, F.col(prediction))).alias("p"), F.collect_list(F.when(F.col("_side") == 0, F.col(prediction))).alias("n")
-    ).filter((F.size("p") > 0) & (F.size("n") > 0))
-    wins = F.aggregate(
-        "p", F.lit(0.0), lambda a, x: a + F.aggregate("n", F.lit(0.0), lambda b, y: b + F.when(x > y, 1.0).when(x == y, 0.5).otherwise(0.0))
-    )
-    return lists.select((wins / (F.size("p") * F.size("n"))).alias("auc")).agg(F.avg("auc").alias("pairwise_auc"), F.count("auc").alias("n_users"))
+    kept = sided if first is None else top_rows(sided, ["user", "_side"], [tie], first, "_r")
+    counted = kept.filter(F.col(prediction).isNotNull()).groupBy("user", F.col(prediction).alias("_p")).agg(F.sum("_side").alias("_liked"), F.sum(1 - F.col("_side")).alias("_disliked"))
+    ranked = before_each_row(counted, ["user"], ["_p"], {"_below": ("sum", "_disliked")}, check=first is None)
+    wins = F.sum(F.col("_liked") * (F.coalesce("_below", F.lit(0)) + F.col("_disliked") / 2))
+    pairs = F.sum("_liked") * F.sum("_disliked")
+    users = ranked.groupBy("user").agg(wins.alias("wins"), pairs.alias("pairs")).filter("pairs > 0")
+    return users.select((F.col("wins") / F.col("pairs")).alias("auc")).agg(F.avg("auc").alias("pairwise_auc"), F.count("auc").alias("n_users"))
 
 
 def with_short_segments(df: DataFrame, count: str = "history_count") -> DataFrame:
