@@ -142,3 +142,29 @@ def test_stored_chunks_are_cut_in_linear_time(spark):
     assert sorted(tuple(r) for r in got) == [(0, kind, 1, 4 * size, 0, 4 * size - 1, 4 * size) for kind in (descent.USERS, descent.ITEMS)]
     last = found.where((F.col("kind") == descent.ITEMS) & (F.col("place") == 3 * size + 5)).collect()
     assert [r["payload"] for r in last] == [numbers[5].tobytes()] and time.monotonic() - began < 60
+
+
+def test_an_epoch_begins_where_the_one_before_ended():
+    """All diagonals once an epoch, with one step less for each epoch after the first; one block needs a single step."""
+    for blocks, epochs in ((1, 4), (2, 3), (3, 4)):
+        steps = descent.diagonals(blocks, epochs)
+        assert len(steps) == epochs * (blocks - 1) + 1
+        assert sorted((e, d) for d, own in steps for e in own) == [(e, d) for e in range(epochs) for d in range(blocks)]
+        assert all(own == sorted(own) for _, own in steps)
+
+
+def test_a_large_batch_is_descended_on_in_pieces(monkeypatch):
+    """Pieces of a batch give the very numbers of the whole batch."""
+    rng = np.random.default_rng(8)
+    rows = np.empty(3000, descent.RATING)
+    rows["user"], rows["item"], rows["rating"] = rng.integers(0, 900, 3000), rng.integers(0, 700, 3000), rng.integers(1, 6, 3000)
+    rows["batch"] = descent.deal_into_batches(rows["user"], rows["item"])
+    rows = rows[np.argsort(rows["batch"], kind="stable")]
+    order, found = np.arange(int(rows["batch"][-1]) + 1), []
+    for size in (descent.PIECE_RATINGS, 7, 10**9):
+        monkeypatch.setattr(descent, "PIECE_RATINGS", size)
+        users, items = (descent.first_vectors(np.arange(n), 1, 6, 0.1) for n in (900, 700))
+        descent.descend(users, items, rows, order, 3.0, 0.01, 0.02, True)
+        found.append((users, items))
+    for users, items in found[1:]:
+        assert np.array_equal(users, found[0][0]) and np.array_equal(items, found[0][1])
